@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import media, mixing, packing, urlfilter
+from loomvec.llm import media, mixing, ngram_join, packing, urlfilter
 from loomvec.session import read_table
 
 #: The rules that the query judges by: (verdict, host + path).
@@ -24,6 +24,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component under Jaccard of at least 0.8."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by the list.
 
@@ -44,6 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_media_columns": op3_media_columns,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_url_filter": op8_url_filter,
     "op10_mixing": op10_mixing,
 }
