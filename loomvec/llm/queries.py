@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import media, mixing, ngram_join, packing, urlfilter
+from loomvec.llm import linededup, media, mixing, ngram_join, packing, substrings, urlfilter
 from loomvec.session import read_table
 
 #: The rules that the query judges by: (verdict, host + path).
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of any document that an earlier place holds too."""
+    return substrings.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored in an ISO container, read back and summarised."""
     return media.text_media(read_table(spark, sf_dir, "documents"))
@@ -41,6 +46,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_filter(pages, listed, URL_RULES)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one, equal or within one edit."""
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     return mixing.mix(read_table(spark, sf_dir, "documents"))
@@ -48,9 +58,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_media_columns": op3_media_columns,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_url_filter": op8_url_filter,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
