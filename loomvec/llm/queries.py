@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import linededup, media, mixing, ngram_join, packing, substrings, urlfilter
+from loomvec.llm import langid, linededup, media, mixing, ngram_join, packing, spotsigs, substrings, toxicity, urlfilter
 from loomvec.session import read_table
 
 #: The rules that the query judges by: (verdict, host + path).
@@ -29,11 +29,31 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return spotsigs.compare_edited(read_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component under Jaccard of at least 0.8."""
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every whole text, learned from the labels that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by the list.
 
@@ -60,7 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_media_columns": op3_media_columns,
+    "op4_spotsigs": op4_spotsigs,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
