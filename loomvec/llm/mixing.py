@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomvec.session import materialize
+
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
-BUCKET_ROWS = 1 << 14
+BUCKET_ROWS = 1 << 9
 NEWTON_STEPS = 60
 
 
@@ -91,9 +93,10 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
 
     ``keep``: with all columns of ``docs`` besides ``copies``.
     """
-    sized = docs.select(*(["*"] if keep else ["doc_id", "source"]), word_count(F.col("text")).alias("_size"))
-    sized = sized.withColumn("_class", size_class(F.col("_size")))
-    cells = sized.groupBy("source", "_class").agg(F.count("*").alias("rows"), F.sum("_size").alias("words"))
+    # Ids, sources and sizes are kept once, so that the texts aren't counted again for each use.
+    slim = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")).withColumn("_class", size_class(F.col("_size"))), "sizes")
+    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_class", size_class(F.col("_size"))) if keep else slim
+    cells = slim.groupBy("source", "_class").agg(F.count("*").alias("rows"), F.sum("_size").alias("words"))
     sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"), F.sort_array(F.collect_list(F.struct(F.col("_class").alias("c"), F.col("rows").alias("n"), F.col("words").alias("w"))), asc=False).alias("cells"))
     targets = source_targets(sources.select("source", "source_size"), weights, share, cap)
     targets = targets.withColumnRenamed("source", "_s").withColumnRenamed("source_size", "_z")
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")))
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.col("_buckets")))
     # Offsets of the buckets, for cells of more than one bucket only.
-    many = sized.select("doc_id", "source", "_class").join(plan.where("_buckets > 1").select("_source", "_c", "_buckets"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")))
+    many = slim.select("doc_id", "source", "_class").join(plan.where("_buckets > 1").select("_source", "_c", "_buckets"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")))
     many = many.groupBy("_source", "_c", F.pmod(F.xxhash64("doc_id"), F.col("_buckets")).alias("_b")).agg(F.count("*").alias("rows"))
     before = Window.partitionBy("_source", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = many.select(F.col("_source").alias("_s2"), F.col("_c").alias("_c2"), "_b", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_from"))
