@@ -47,13 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back.
 
     Cuts the lineage and gives the planner the true size; the files survive
-    the loss of any executor.
+    the loss of any executor. ``small``: the rows are few beside the input, so
+    there is one file for each core of the cluster at most.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(4, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/loomvec-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
