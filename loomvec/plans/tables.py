@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _table(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
-    import pandas as pd
+    import pyarrow as pa
 
-    return spark.createDataFrame(pd.DataFrame(columns))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def permutations(spark: SparkSession, items: list, repeats: int, seed: int) -> DataFrame:
@@ -39,14 +39,10 @@ def bootstraps(spark: SparkSession, items: list, repeats: int, seed: int) -> Dat
 def stratified_bootstraps(spark: SparkSession, groups: dict, repeats: int, seed: int) -> DataFrame:
     """(rep, pos, item, stratum): draws with replacement within each stratum."""
     rng = np.random.default_rng(seed)
-    rows = []
-    for rep in range(repeats):
-        pos = 0
-        for stratum, items in groups.items():
-            for i in rng.choice(len(items), size=len(items), replace=True):
-                rows.append((rep, pos, items[i], stratum))
-                pos += 1
-    return spark.createDataFrame(rows, ["rep", "pos", "item", "stratum"])
+    strata = np.concatenate([np.repeat([s], len(items)) for s, items in groups.items()])
+    drawn = [np.array(items)[rng.choice(len(items), size=len(items), replace=True)] for _ in range(repeats) for items in groups.values()]
+    n = len(strata)
+    return _table(spark, {"rep": np.repeat(np.arange(repeats), n), "pos": np.tile(np.arange(n), repeats), "item": np.concatenate(drawn), "stratum": np.tile(strata, repeats)})
 
 
 def label_permutations(spark: SparkSession, labels: dict, repeats: int, seed: int) -> DataFrame:
@@ -64,4 +60,4 @@ def subsets(spark: SparkSession, items: list, size: int, repeats: int, seed: int
     else:
         rng = np.random.default_rng(seed)
         chosen = [tuple(items[i] for i in rng.choice(len(items), size=size, replace=False)) for _ in range(repeats)]
-    return spark.createDataFrame([(rep, x) for rep, s in enumerate(chosen) for x in s], ["rep", "item"])
+    return _table(spark, {"rep": np.repeat(np.arange(len(chosen)), size), "item": np.array(chosen).reshape(-1)})

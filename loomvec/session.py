@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     if small:
-        df = df.coalesce(max(4, spark.sparkContext.defaultParallelism))
+        df = df.repartition(max(4, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/loomvec-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
