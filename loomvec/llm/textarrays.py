@@ -8,12 +8,15 @@ and not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Space as the contracts define it: 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,6 +25,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+@lru_cache
+def steady_memory() -> None:
+    """Has a Python worker give large arrays back to the system as soon as they are freed.
+
+    By default the C library keeps them once it has seen a few, and so does
+    Arrow's pool: an idle worker then holds what its largest batch took.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (xor-shift-multiply), wrapping."""
     x = x.astype(np.uint64, copy=True)
@@ -51,6 +68,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) over the whole column."""
+    steady_memory()
     data, at = buffers(column)
     n, first = len(at) - 1, 0
     while first < n:
