@@ -1,9 +1,11 @@
-"""Connected components of a link table by alternating large and small stars.
-
-Each round is two aggregations with a map-side combine and two joins whose one
-side is unique by key, so a vertex that holds a third of all links is split by
-the planner's skew handling and never gathered. Rounds are cut by a table in
-the shared folder.
+"""Connected components of a link table by contraction to smallest neighbours.
+
+In a round every vertex with a smaller neighbour takes its smallest one as
+parent, an aggregation with a map-side combine; pointer jumping brings each
+vertex to its tree's root, and the links between different roots are the next
+round's table. Joins have one side that is unique by key, so a vertex with a
+third of all links is split by the planner's skew handling and never gathered.
+Rounds are cut by tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,35 +16,39 @@ from pyspark.sql import functions as F
 from loomvec.session import materialize
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    moved = down.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
+def _jump(parents: DataFrame) -> DataFrame:
+    """(id, root): parents followed to the end; paths halve with every step."""
+    while True:
+        up = parents.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        found = materialize(parents.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "jump", small=True)
+        parents = found.select("id", "root")
+        if not found.where("moved").limit(1).count():
+            return parents
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for every vertex of ``edges`` (u, v) with another one in its component.
+    """(id, component) of every vertex of ``edges`` (u, v) but those that are their component's smallest.
 
-    ``component`` is the smallest vertex; vertices that are their own
-    component's smallest are included. Loops and repeated links don't matter;
-    no links, no rows.
+    ``component`` is the smallest vertex of the component. Loops and repeated
+    links don't matter; no links, no rows.
     """
-    edges = materialize(edges.where("u <> v").distinct(), "links")
-    seen = None
+    edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links", small=True)
+    labels = None
     for _ in range(rounds):
-        edges = materialize(_small(_large(edges).distinct()).where("u <> v").distinct(), "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if not edges.limit(1).count():
             break
-        seen = state
+        roots = _jump(edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("root")))
+        if labels is None:
+            labels = roots
+        else:
+            to = roots.select(F.col("id").alias("root"), F.col("root").alias("next"))
+            labels = labels.join(to, "root", "left").select("id", F.coalesce("next", "root").alias("root")).unionByName(roots)
+        ends = edges
+        for side in ("u", "v"):
+            ends = ends.join(roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+        edges = materialize(ends.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links", small=True)
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    if labels is None:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return materialize(labels.select("id", F.col("root").alias("component")), "components", small=True)

@@ -9,11 +9,13 @@ second level of one this is the subset enumeration of PartEnum at its
 cheapest: k + 1 signatures and some to spare.
 
 Exactness. A set's partition may be empty, and a signature may be shared by
-very many documents (a common passage). Neither is used: as long as a set has
-at least k + 1 partitions that are neither, every partner of it still shares
-one of those. Sets for which that fails in one round enter the next one, with
-other and finer partitions; in the last round each shingle is a partition of
-its own and nothing is left out. So no pair is lost, whatever the skew.
+very many documents (a common passage). Neither is needed: as long as a set
+has at least k + 1 partitions that are neither, every partner of it still
+shares one of those. A set with too few partitions in use also signs with each
+shingle alone, so two such sets meet there. Sets left with too few by common
+signatures are joined among themselves once more by their rarest shingles, as
+many as two similar sets must share one of, and there nothing is left out. So
+no pair is lost, whatever the skew.
 
 Cost. Signatures travel as packed arrays, one row for each of many parts, and
 meet in one task by part; within a batch, members of a common signature beyond
@@ -21,9 +23,10 @@ a few are linked to the batch's first and not sent. A group of up to
 ``SMALL`` members gives all its pairs; a larger one gives pairs with its
 smallest member only (a star). The pairs are verified on the sets, linked sets
 are merged into components, and only groups that still hold several components
-are looked at again: those of up to ``MEDIUM`` members by all pairs between
-components, larger ones count as common (above). Equal sets are merged before
-all this, so copies never meet.
+are looked at again: those of up to ``MEDIUM`` components by all pairs between these, while
+the larger ones count as common (above). Equal sets are merged before all
+this, so copies never meet. Pairs are ruled out by small sketches, with
+certainty, before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -35,21 +38,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomvec.llm.components import connected_components
-from loomvec.llm.textarrays import LOWER, PolyHash, mix64, slices, words
-from loomvec.session import materialize
+from loomvec.llm.textarrays import LOWER, PolyHash, buffers, mix64, slices, steady_memory, words
+from loomvec.session import materialize, small_batches
 
 WORDS = 5
 #: Jaccard of at least SHARED / ALL.
 SHARED, ALL = 80, 100
-SMALL, MEDIUM = 4, 32
+SMALL, MEDIUM = 4, 8
 #: Signatures of a batch that are sorted and sent together.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Ids that are broadcast at most; beyond that a shuffle join is used.
 BROADCAST_IDS = 1 << 21
-#: (seed, partitions for each of the k + 1 needed); None: a partition for each shingle.
-ROUNDS: tuple[tuple[int, float | None], ...] = ((11, 1.25), (12, 3.0), (13, None))
+SEED = 11
+#: Partitions for each of the k + 1 needed.
+SPREAD = 1.25
 
 
 @lru_cache
@@ -185,7 +190,7 @@ def _in_order(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sig, ids
 
 
-PAIR, STAR, SHORT = 0, 1, 2
+PAIR, STAR = 0, 1
 FOUND = "kind int, a long, b long, sig long"
 
 
@@ -193,18 +198,17 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray, sig: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(sig.astype(np.uint64).view(np.int64))], names=["kind", "a", "b", "sig"])
 
 
-def _send(docs: DataFrame, parts: int, now: tuple[int, float | None], before: tuple[int, float | None] | None) -> DataFrame:
-    """Packed signatures by part. ``docs``: doc_id, text, and h0, h1 where there was a round before."""
+def _send(docs: DataFrame, parts: int, spread: float) -> DataFrame:
+    """Packed signatures by part. ``docs``: doc_id, text."""
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches):
         sigs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        short: list[tuple[int, int]] = []
-        held, turn = 0, 0
+        held = 0
 
         def flush():
-            nonlocal held, turn
+            nonlocal held
             sig, doc = _in_order(np.concatenate([np.zeros(0, np.uint64), *sigs]), np.concatenate([np.zeros(0, np.int64), *ids]))
             starts, lengths = groups(sig)
             stars = np.zeros((3, 0), np.int64)
@@ -218,18 +222,13 @@ def _send(docs: DataFrame, parts: int, now: tuple[int, float | None], before: tu
             star_part = stars[0].view(np.uint64) >> shift if parts > 1 else np.zeros(stars.shape[1], np.uint64)
             rows: list[tuple[int, bytes]] = []
             star_edges = np.searchsorted(star_part, np.arange(parts + 1, dtype=np.uint64))
-            lost = turn % parts
             for p in range(parts):
                 lo, hi, s0, s1 = edges[p], edges[p + 1], star_edges[p], star_edges[p + 1]
-                mine = short if p == lost else []
-                if hi > lo or s1 > s0 or mine:
-                    head = np.array([hi - lo, s1 - s0, len(mine)], np.int64)
-                    rows.append((p, b"".join([head.tobytes(), sig[lo:hi].tobytes(), doc[lo:hi].tobytes(), stars[:, s0:s1].tobytes(), np.array(mine, np.int64).tobytes()])))
-            turn += 1
+                if hi > lo or s1 > s0:
+                    rows.append((p, b"".join([np.array([hi - lo, s1 - s0], np.int64).tobytes(), sig[lo:hi].tobytes(), doc[lo:hi].tobytes(), stars[:, s0:s1].tobytes()])))
             held = 0
             sigs.clear()
             ids.clear()
-            short.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "packed"])
 
         for records in batches:
@@ -238,17 +237,15 @@ def _send(docs: DataFrame, parts: int, now: tuple[int, float | None], before: tu
                 sizes = np.diff(at)
                 for side in (0, 1):
                     band = _instances(sizes, side)
-                    if before is not None:  # only where common and empty partitions left too few
-                        h = np.stack([records.column(c).fill_null(-1).to_numpy(zero_copy_only=False)[first:last] for c in (2, 3)])
-                        h = h[band & 1, np.arange(last - first)]
-                        _, _, spare = signatures(hashes, at, band, *before)
-                        band = np.where((h >= 0) & (spare - h < 0), band, -1)
-                    sig, row, spare = signatures(hashes, at, band, *now)
+                    sig, row, spare = signatures(hashes, at, band, SEED, spread)
                     sigs.append(sig)
                     ids.append(doc[first:last][row])
                     held += len(sig)
-                    few = np.flatnonzero((band >= 0) & (spare < 0))
-                    short += [(int(doc[first + r]), int(band[r] & 1)) for r in few]
+                    if (spare < 0).any():
+                        sig, row, _ = signatures(hashes, at, np.where(spare < 0, band, -1), SEED + 100, None)
+                        sigs.append(sig)
+                        ids.append(doc[first:last][row])
+                        held += len(sig)
                 if held >= FLUSH:
                     yield flush()
         yield flush()
@@ -260,13 +257,14 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
     """Pairs and stars of the signatures that meet in one part."""
 
     def run(batches):
+        steady_memory()
         parcels: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for records in batches:
             for part, packed in zip(records.column(0).to_pylist(), records.column(1), strict=True):
                 raw = packed.as_buffer()
-                n, s, m = np.frombuffer(raw, np.int64, 3)
-                body = np.frombuffer(raw, np.int64, offset=24)
-                parcels.setdefault(part, []).append((body[:n].view(np.uint64), body[n : 2 * n], body[2 * n : 2 * n + 3 * s].reshape(3, s), body[2 * n + 3 * s :].reshape(m, 2)))
+                n, s = np.frombuffer(raw, np.int64, 2)
+                body = np.frombuffer(raw, np.int64, offset=16)
+                parcels.setdefault(part, []).append((body[:n].view(np.uint64), body[n : 2 * n], body[2 * n :].reshape(3, s)))
         for got in parcels.values():
             sig, doc = _in_order(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
             a, b, star_sig, leader, member = split_groups(sig, doc)
@@ -280,35 +278,57 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
                 pairs = np.unique(np.stack([a, b]), axis=1)
                 yield _found(PAIR, pairs[0], pairs[1], pairs[0] * 0)
             yield _found(STAR, leader, member, star_sig)
-            short = np.concatenate([g[3] for g in got])
-            yield _found(SHORT, short[:, 0], short[:, 1], short[:, 0] * 0)
 
     return sent.repartition("part").mapInArrow(run, FOUND)
 
 
+#: Cells of a set's sketch.
+CELLS = 256
+#: Documents on either side of a cell that is compared at once.
+BLOCK = 2048
+
+
+def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of 256 cells, one byte each (255: so many or more).
+
+    Sets differ in at least as many shingles as their sketches' cells differ
+    in sum, so a sum above the limit rules a pair out for certain.
+    """
+    rows = len(at) - 1
+    cell = np.repeat(np.arange(rows), np.diff(at)) * CELLS + (mix64(hashes) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=rows * CELLS), 255).astype(np.uint8).reshape(rows, CELLS)
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest (lo, hi) of every document's set."""
+    """doc_id, n_shingles, a 128-bit digest (lo, hi) and the sketch of every document's set."""
 
     def run(batches):
         for records in batches:
             out = np.zeros((3, records.num_rows), np.int64)
+            drawn = np.zeros((records.num_rows, CELLS), np.uint8)
             for first, last, hashes, at in shingle_sets(records.column(1)):
                 sizes = np.diff(at)
                 full = sizes > 0
+                drawn[first:last] = sketches(hashes, at)
                 out[0, first:last] = sizes
                 if full.any():
                     for k, value in ((1, mix64(hashes)), (2, mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)))):
                         out[k, first:last][full] = np.add.reduceat(value, at[:-1][full]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([records.column(0), *[pa.array(x) for x in out]], names=["doc_id", "n_shingles", "lo", "hi"])
+            sketch = pa.array([x.tobytes() for x in drawn], pa.binary())
+            yield pa.RecordBatch.from_arrays([records.column(0), *[pa.array(x) for x in out], sketch], names=["doc_id", "n_shingles", "lo", "hi", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, lo long, hi long, sketch binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, lo long, hi long")
+def _lists(hashes: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for records in batches:
             for first, last, hashes, at in shingle_sets(records.column(1)):
-                yield pa.RecordBatch.from_arrays([records.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([records.column(0).slice(first, last - first), _lists(hashes, at)], names=["id", "shingles"])
 
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
@@ -318,18 +338,148 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("id"), how)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Of the distinct ``pairs`` (a, b) those whose sets are similar, as links (u, v)."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+def _plausible(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (a, b) that the sketches don't rule out."""
+    known = base.where("n_shingles > 0 and doc_id is not null")
+    left = known.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+
+    def run(batches):
+        for records in batches:
+            if not records.num_rows:
+                continue
+            x, y = (buffers(records.column(i))[0].reshape(-1, CELLS) for i in (3, 5))
+            far = np.abs(x.astype(np.int32) - y).sum(axis=1)
+            both = records.column(2).to_numpy() + records.column(4).to_numpy()
+            keep = pa.array((SHARED + ALL) * (both - far) >= 2 * SHARED * both)
+            yield pa.RecordBatch.from_arrays([records.column(0).filter(keep), records.column(1).filter(keep)], names=["a", "b"])
+
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "ka", "nb", "kb")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets are similar, as links (u, v)."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids", small=True)
     sets = _sets(_only(docs, ids, "left_semi"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("common", common).where(F.col("common") * ALL >= SHARED * (F.size("sa") + F.size("sb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = both.withColumn("common", common).where(F.col("common") * ALL >= SHARED * (F.size("sa") + F.size("sb") - F.col("common")))
+    return materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links", small=True)
+
 
+def _connecting(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Links among the plausible ``pairs`` (a < b) that connect all similar ones.
 
-def jaccard_components(docs: DataFrame, *, rounds: tuple[tuple[int, float | None], ...] = ROUNDS, medium: int = MEDIUM) -> DataFrame:
+    Each b is compared with its smallest a first. A pair whose sides are then
+    linked with the same document is connected already and isn't compared.
+    """
+    pairs = materialize(pairs, f"{name}-pairs", small=True)
+    if not pairs.limit(1).count():
+        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    links = _compared(docs, first, f"{name}-first")
+    to = lambda side: links.select(F.col("v").alias(side), F.col("u").alias(f"to_{side}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(to("a"), "a", "left").join(to("b"), "b", "left")
+    rest = materialize(rest.where(F.coalesce("to_a", "a") != F.coalesce("to_b", "b")).select("a", "b"), f"{name}-rest", small=True)
+    return links.unionByName(_compared(docs, rest, f"{name}-second")) if rest.limit(1).count() else links
+
+
+def _across(base: DataFrame, merged: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Plausible pairs of members between the given pairs of components (c, d).
+
+    The larger component's members and those of its partners are dealt into
+    blocks, and each cell of two blocks is compared by sketches where it lies;
+    only plausible pairs leave it. So a component that holds a third of all
+    documents is spread, and no pair that is ruled out becomes a row.
+    """
+    wanted = pairs.select(F.col("c").alias("component")).unionByName(pairs.select(F.col("d").alias("component"))).distinct()
+    members = merged.join(wanted, "component", "left_semi").select("component", "id").unionByName(wanted.select("component", F.col("component").alias("id")))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    of = lambda side: sizes.select(F.col("component").alias(side), F.col("n").alias(f"n_{side}"))
+    turn = F.col("n_c") >= F.col("n_d")
+    sides = pairs.join(of("c"), "c").join(of("d"), "d").select(F.when(turn, F.col("c")).otherwise(F.col("d")).alias("big"), F.when(turn, F.col("d")).otherwise(F.col("c")).alias("small"), F.greatest("n_c", "n_d").alias("n"), F.least("n_c", "n_d").alias("m"))
+    sides = materialize(sides, "sides", small=True)
+    grid = sides.groupBy("big").agg(F.ceil(F.max("n") / F.lit(block)).cast("int").alias("across"), F.ceil(F.sum("m") / F.lit(block)).cast("int").alias("down"))
+    known = base.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = members.join(grid, F.col("component") == F.col("big")).select("big", deal("across").alias("x"), every("down").alias("y"), F.lit(False).alias("probe"), "id")
+    small = sides.select("big", "small").join(grid, "big").join(members, F.col("small") == F.col("component")).select("big", deal("down").alias("y"), every("across").alias("x"), F.lit(True).alias("probe"), "id")
+    rows = large.unionByName(small).join(known, "id")
+
+    def run(batches):
+        cells: dict[tuple, tuple[list, list]] = {}
+        for records in batches:
+            sketch = buffers(records.column(6))[0].reshape(-1, CELLS) if records.num_rows else None
+            for r, (key, probe) in enumerate(zip(zip(*(records.column(i).to_pylist() for i in (0, 1, 2)), strict=True), records.column(3).to_pylist(), strict=True)):
+                cells.setdefault(key, ([], []))[probe].append((records.column(4)[r].as_py(), records.column(5)[r].as_py(), sketch[r]))
+        a, b = [], []
+        for members, probes in cells.values():
+            if not members or not probes:
+                continue
+            ids, sizes, drawn = np.array([m[0] for m in members]), np.array([m[1] for m in members]), np.stack([m[2] for m in members]).astype(np.int16)
+            for doc, n, sketch in probes:
+                both = sizes + n
+                close = np.flatnonzero((SHARED + ALL) * (both - np.abs(drawn - sketch).sum(axis=1)) >= 2 * SHARED * both)
+                a.append(np.minimum(ids[close], doc))
+                b.append(np.maximum(ids[close], doc))
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+
+    return rows.select("big", "x", "y", "probe", "id", "n_shingles", "sketch").repartition("big", "x", "y").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _too_few(docs: DataFrame, spread: float) -> DataFrame:
+    """id and shingles of those whose partitions, less the h0 or h1 common ones, are too few."""
+
+    def run(batches):
+        for records in batches:
+            for first, last, hashes, at in shingle_sets(records.column(1)):
+                out = np.zeros(last - first, bool)
+                for side in (0, 1):
+                    band = _instances(np.diff(at), side)
+                    h = np.stack([records.column(c).fill_null(-1).to_numpy(zero_copy_only=False)[first:last] for c in (2, 3)])
+                    h = h[band & 1, np.arange(last - first)]
+                    _, _, spare = signatures(hashes, at, band, SEED, spread)
+                    out |= (band >= 0) & (h >= 0) & (spare - h < 0)
+                keep = pa.array(out)
+                yield pa.RecordBatch.from_arrays([records.column(0).slice(first, last - first).filter(keep), _lists(hashes, at).filter(keep)], names=["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _resolved(docs: DataFrame, base: DataFrame, found: DataFrame, links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links with those of ``found``, components, members (sig, b, c) of signatures that hold several components, and how many (n)."""
+    stars = found.where(F.col("kind") == STAR)
+    fresh = _connecting(docs, _plausible(base, found.where("a <> b").select("a", "b").distinct()), f"verify-{name}")
+    links = fresh if links is None else links.unionByName(fresh)
+    merged = connected_components(links)
+    label = lambda df, key: df.join(merged.select(F.col("id").alias(key), F.col("component").alias(f"c_{key}")), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))
+    split = label(label(stars.select("a", "b").distinct(), "a"), "b").where("c_a <> c_b").select("a", "b")
+    torn = stars.join(split, ["a", "b"], "left_semi").select("sig").distinct()
+    members = label(stars.join(torn, "sig", "left_semi").select("sig", "b").distinct(), "b").withColumnRenamed("c_b", "c")
+    members = materialize(members, f"members-{name}", small=True)
+    return links, merged, members, materialize(members.select("sig", "c").distinct().groupBy("sig").agg(F.count("*").alias("n")), f"sizes-{name}", small=True)
+
+
+def _by_rarest(sets: DataFrame) -> DataFrame:
+    """Stars (a: smallest, b: member, sig) of the ``sets`` (id, shingles) that share one of their rarest shingles.
+
+    By one order for all, rarest first, similar sets share one of the first
+    ``n - 0.8 n + 1`` shingles of each.
+    """
+    each = materialize(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig")), "rest-shingles")
+    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig")
+    order = Window.partitionBy("id").orderBy("df", "sig")
+    kept = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SHARED / ALL) + 1).where("df > 1").select("id", "sig")
+    least = kept.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("sig", "a")
+    return kept.join(least, "sig").select("a", F.col("id").alias("b"), "sig")
+
+
+def jaccard_components(docs: DataFrame, *, spread: float = SPREAD, medium: int = MEDIUM) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest reachable doc_id) of every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of one to
@@ -340,58 +490,56 @@ def jaccard_components(docs: DataFrame, *, rounds: tuple[tuple[int, float | None
     ``n_shingles``; rows without ``doc_id`` are linked with nothing and have a
     null component; an empty table gives no rows; other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, spread, medium)
+
+
+def _components(docs: DataFrame, spread: float, medium: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(set_digests(docs), "sets")
     usable = base.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
-    equal = materialize(usable.join(classes, ["lo", "hi"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "equal")
-    work = _only(docs.where("doc_id is not null"), equal.select(F.col("doc_id").alias("id")).distinct(), "left_anti")
+    equal = materialize(usable.join(classes, ["lo", "hi"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "equal", small=True)
+    known = docs.where("doc_id is not null")
+    work = _only(known, equal.select(F.col("doc_id").alias("id")).distinct(), "left_anti")
     twice = usable.select("doc_id", "lo", "hi").distinct().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
-    if twice.limit(1).count():  # ids of several texts: none of these may be left out
-        work = work.unionByName(_only(docs.where("doc_id is not null"), twice, "left_semi")).distinct()
-    links = equal.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    several = bool(twice.limit(1).count())
+    if several:  # ids of several texts: none of these may be left out
+        work = work.unionByName(_only(known, twice, "left_semi")).distinct()
     parts = 1 << max(3, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    found_links = None
-    open_docs, before = work, None
-    for number, now in enumerate(rounds):
-        last = number == len(rounds) - 1
-        found = materialize(_meet(_send(open_docs, parts, now, before), parts), f"found{number}")
-        stars = found.where(F.col("kind") == STAR)
-        pairs = found.where((F.col("kind") != SHORT) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-        pairs = materialize(pairs, f"pairs{number}")
-        fresh = materialize(_verified(work, pairs, f"verify{number}"), f"links{number}")
-        found_links = fresh if found_links is None else found_links.unionByName(fresh)
-        merged = materialize(connected_components(found_links), f"merged{number}")
-        label = lambda df, key: df.join(merged.select(F.col("id").alias(key), F.col("component").alias(f"c_{key}")), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))  # noqa: B023, E731
-        split = label(label(stars.select("a", "b").distinct(), "a"), "b").where("c_a <> c_b").select("a", "b")
-        torn = stars.join(split, ["a", "b"]).select("sig").distinct()
-        members = materialize(label(stars.join(torn, "sig", "left_semi").select("sig", "b").unionByName(stars.join(torn, "sig", "left_semi").select("sig", F.col("a").alias("b"))).distinct(), "b"), f"members{number}")
-        sizes = members.groupBy("sig").count()
-        near = members.join(sizes.where(F.lit(last) | (F.col("count") <= medium)).select("sig"), "sig")
-        other = near.select("sig", F.col("b").alias("a"), F.col("c_b").alias("c_a"))
-        pairs = near.join(other, "sig").where("a < b and c_a <> c_b").select("a", "b").distinct()
-        pairs = materialize(pairs, f"more{number}")
+    found = materialize(_meet(_send(work, parts, spread), parts), "found")
+    links = None
+    for last in (False, True):
+        name = "rarest" if last else "common"
+        links, merged, members, sizes = _resolved(known, base, found, links, name)
+        every = last or not sizes.where(F.col("n") > medium).limit(1).count()
+        near = members.select("sig", "c").distinct().join(sizes if every else sizes.where(F.col("n") <= medium), "sig").select("sig", "c")
+        pairs = materialize(near.join(near.withColumnRenamed("c", "d"), "sig").where("c < d").select("c", "d").distinct(), f"across-{name}", small=True)
         if pairs.limit(1).count():
-            found_links = found_links.unionByName(materialize(_verified(work, pairs, f"again{number}"), f"morelinks{number}"))
-        if last:
+            more = _connecting(known, _across(base, merged, pairs), f"again-{name}")
+            if more.limit(1).count():
+                links, merged = links.unionByName(more), None
+        if every:
             break
-        common = members.join(sizes.where(F.col("count") > medium).select("sig"), "sig").groupBy(F.col("b").alias("id"), F.col("sig").bitwiseAND(1).alias("parity")).agg(F.count("*").alias("h"))
-        short = found.where(F.col("kind") == SHORT).select(F.col("a").alias("id"), F.col("b").alias("parity"), F.lit(0).cast("long").alias("h"))
-        rest = common.unionByName(short).groupBy("id").agg(F.max(F.when(F.col("parity") == 0, F.col("h"))).alias("h0"), F.max(F.when(F.col("parity") == 1, F.col("h"))).alias("h1"))
-        rest = materialize(rest, f"rest{number}")
-        if not rest.limit(1).count():
-            break
-        open_docs, before = _only(work, rest, "inner").select("doc_id", "text", "h0", "h1"), now
-    links = links.unionByName(found_links)
-    merged = connected_components(links)
+        common = members.join(sizes.where(F.col("n") > medium), "sig").groupBy("b", F.col("sig").bitwiseAND(1).alias("parity")).agg(F.count("*").alias("h"))
+        rest = common.groupBy(F.col("b").alias("id")).agg(F.max(F.when(F.col("parity") == 0, F.col("h"))).alias("h0"), F.max(F.when(F.col("parity") == 1, F.col("h"))).alias("h1"))
+        spare = _too_few(_only(known, materialize(rest, "rest", small=True), "inner").select("doc_id", "text", "h0", "h1"), spread)
+        found = materialize(_by_rarest(spare).withColumn("kind", F.lit(STAR)), "found-rarest")
+    same = equal.select(F.col("doc_id").alias("id"), F.col("rep").alias("component"))
+    if several:  # an id may be a copy in one row and something else in another
+        merged = connected_components(links.unionByName(same.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+    else:
+        merged = connected_components(links) if merged is None else merged
+        of_rep = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        merged = merged.unionByName(same.join(of_rep, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
     joined = base.select("doc_id", "n_shingles").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` without those that have a smaller id in their component, and one row for each id."""
-    gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone", small=True)
     kept = _only(docs, gone, "left_anti")
     again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     if again.limit(1).count():
