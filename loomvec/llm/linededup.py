@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomvec.llm.textarrays import PolyHash, mix64, slices
-from loomvec.session import materialize
+from loomvec.session import materialize, small_batches
 
 MIN_CHARS = 10
 MIN_NEAR = 20
@@ -147,6 +147,11 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_near: int
 
     ``mark`` is xxhash64 of the text; it tells rows of one ``doc_id`` apart.
     """
+    with small_batches(docs.sparkSession):
+        return _repeated_lines(docs, min_chars, min_near)
+
+
+def _repeated_lines(docs: DataFrame, min_chars: int, min_near: int) -> DataFrame:
     docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     lines = materialize(line_table(docs, min_chars, min_near), "lines")
     place = F.struct("doc_id", "mark", "line")
@@ -157,9 +162,9 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_near: int
     equal = equal.select("doc_id", "mark", "line", "first", F.lit(True).alias("exact"))
     # Lines that share a half with another line of fitting length.
     halves = unique.select(F.explode("keys").alias("key"), "lo", "first")
-    shared = materialize(halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("key"), "halves")
+    shared = materialize(halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("key"), "halves", small=True)
     wanted = halves.join(_few(shared), "key", "left_semi").select("first.*").distinct()
-    wanted = materialize(wanted.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line")).alias("wanted")), "wanted")
+    wanted = materialize(wanted.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line")).alias("wanted")), "wanted", small=True)
     asked = docs.alias("d").join(_few(wanted).alias("w"), _same("d", "w")).select("d.doc_id", "d.mark", "d.text", "w.wanted")
     asked = asked.dropDuplicates(["doc_id", "mark"]) if _repeats(docs) else asked
     variants = _variants(asked).withColumn("place", place)
@@ -167,8 +172,8 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_near: int
     here = Window.partitionBy("lo", "hi", "at")
     other = F.when(F.col("at") < 0, F.min(F.when(F.col("at") >= 0, F.col("place"))).over(rest)).otherwise(F.least(F.min("place").over(here), F.coalesce(F.min(F.when(F.col("at") < 0, F.col("place"))).over(rest), F.col("place"))))
     near = variants.withColumn("first", other).where("first < place").select("doc_id", "mark", "line", "first")
-    near = materialize(near.groupBy("doc_id", "mark", "line").agg(F.min("first").alias("first")), "near-lines")
-    return equal.unionByName(_verified(docs, near).withColumn("exact", F.lit(False)))
+    near = materialize(near.groupBy("doc_id", "mark", "line").agg(F.min("first").alias("first")), "near-lines", small=True)
+    return equal.unionByName(materialize(_verified(docs, near), "verified", small=True).withColumn("exact", F.lit(False)))
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -178,7 +183,7 @@ def _repeats(docs: DataFrame) -> bool:
 def _verified(docs: DataFrame, near: DataFrame) -> DataFrame:
     """The candidates whose edit distance is at most one."""
     places = near.select("doc_id", "mark", "line").unionByName(near.select("first.*")).distinct()
-    places = materialize(places.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("numbers")), "places")
+    places = materialize(places.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("numbers")), "places", small=True)
     texts = docs.alias("d").join(_few(places).alias("p"), _same("d", "p")).select("d.doc_id", "d.mark", F.explode("p.numbers").alias("line"), F.split("d.text", "\n", -1).alias("all"))
     texts = texts.select("doc_id", "mark", "line", F.get("all", F.col("line")).alias("value")).distinct()
     own = near.alias("n").join(texts.alias("t"), _same("n", "t") & (F.col("n.line") == F.col("t.line"))).select("n.doc_id", "n.mark", "n.line", "n.first", F.col("t.value").alias("mine"))
