@@ -4,8 +4,8 @@ Each place where a common word (an anchor) stands before a content word gives
 a spot signature: the anchor, that content word and the next one, anchors in
 between left out. A text's fingerprint is the set of its spot signatures. Lists
 and short texts have few common words, so one content word in eight, chosen by
-its hash, is a spot by itself, and in texts of fewer than ``SHORT`` words every
-one is. Texts without words have the whole text as their only signature.
+its hash, is a spot by itself, and in texts of fewer than ``SHORT`` words, or
+without any spot, every one is. Texts without words have the whole text as their only signature.
 Sets are compared by Jaccard; the join partitions them by length, so that only
 neighbouring length classes meet, and prunes by prefixes before it compares.
 
@@ -78,7 +78,7 @@ def spot_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANC
     made = made.withColumn(step["after"], F.slice(of("bare"), 2, F.greatest(F.size(of("bare")), F.lit(1))))
     made = made.withColumn(step["found"], F.array_compact(F.zip_with(of("words"), of("after"), lambda w, c: F.when(F.contains(w, F.lit(":")) | (F.pmod(F.xxhash64(w), F.lit(SPARSE)) == 0), F.xxhash64(w, c)))))
     every = F.concat(of("found"), F.zip_with(of("bare"), of("after"), lambda w, c: F.when(w.isNotNull(), F.xxhash64(w, c))))
-    signatures = F.when(of("flat") == "", F.array(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))).when(F.size(of("bare")) >= short, of("found")).otherwise(every)
+    signatures = F.when(of("flat") == "", F.array(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))).when((F.size(of("bare")) >= short) & (F.size(of("found")) > 0), of("found")).otherwise(every)
     return made.withColumn(out, F.sort_array(F.array_distinct(signatures))).drop(*step.values())
 
 
