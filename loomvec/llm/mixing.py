@@ -38,6 +38,8 @@ SHARE = 1.5
 CAP = 2.0
 BUCKET_ROWS = 1 << 9
 NEWTON_STEPS = 60
+#: Rows that are broadcast at most; beyond that a shuffle join is used.
+BROADCAST_ROWS = 1 << 17
 
 
 def word_count(text: Column) -> Column:
@@ -113,14 +115,18 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     start = F.struct(F.lit(0.0).alias("over"), F.expr("cast(array() as array<struct<c:bigint,n:bigint,more:bigint>>)").alias("done"))
     plan = solved.select("source", "source_size", "target", base.cast("long").alias("base"), F.explode(F.aggregate("cells", start, carried)["done"]).alias("cell"))
     plan = plan.select(F.col("source").alias("_source"), F.col("cell.c").alias("_c"), "source_size", "target", "base", F.col("cell.n").alias("_n"), F.col("cell.more").alias("_more"), F.ceil(F.col("cell.n") / F.lit(bucket_rows)).alias("_buckets"))
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")))
+    # The plan has a row for each source and size class; it is sent to all only while that is few.
+    plan = materialize(plan, "plan", small=True)
+    many_cells = plan.count() > BROADCAST_ROWS
+    placed = sized.join(plan if many_cells else F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")))
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.col("_buckets")))
     # Offsets of the buckets, for cells of more than one bucket only.
     many = slim.select("doc_id", "source", "_class").join(plan.where("_buckets > 1").select("_source", "_c", "_buckets"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")))
     many = many.groupBy("_source", "_c", F.pmod(F.xxhash64("doc_id"), F.col("_buckets")).alias("_b")).agg(F.count("*").alias("rows"))
     before = Window.partitionBy("_source", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = many.select(F.col("_source").alias("_s2"), F.col("_c").alias("_c2"), "_b", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_from"))
-    placed = placed.join(offsets, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2")) & (F.col("_bucket") == F.col("_b")), "left")
+    offsets = materialize(offsets, "offsets", small=True)
+    placed = placed.join(offsets if offsets.count() > BROADCAST_ROWS else F.broadcast(offsets), F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2")) & (F.col("_bucket") == F.col("_b")), "left")
     rank = F.row_number().over(Window.partitionBy("_source", "_c", "_bucket").orderBy("_size", "doc_id")) - 1 + F.coalesce("_from", F.lit(0))
     placed = placed.withColumn("_rank", rank.cast("long"))
     one_more = F.floor((F.col("_rank") + 1) * F.col("_more") / F.col("_n")) > F.floor(F.col("_rank") * F.col("_more") / F.col("_n"))
