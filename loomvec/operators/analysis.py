@@ -30,9 +30,9 @@ def language_pairs(cells: DataFrame) -> DataFrame:
 
 def similarity_table(profiles: DataFrame) -> DataFrame:
     """Cosine, Spearman and Euclidean of all pairs of generator profiles."""
-    both = P.pairs(profiles, "generator")
+    both = P.pairs(profiles.withColumn("k", V.average_ranks(F.col("r"))), "generator")  # ranked once, not for each pair
     a, b = F.col("r_a"), F.col("r_b")
-    return both.select("generator_a", "generator_b", "family_a", "family_b", V.cosine(a, b).alias("cosine"), V.spearman(a, b).alias("spearman"), V.euclidean(a, b).alias("euclidean"))
+    return both.select("generator_a", "generator_b", "family_a", "family_b", V.cosine(a, b).alias("cosine"), V.pearson(F.col("k_a"), F.col("k_b")).alias("spearman"), V.euclidean(a, b).alias("euclidean"))
 
 
 def family_delta(table: DataFrame, *by: str) -> DataFrame:
@@ -127,8 +127,10 @@ def split_halves(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     """
     n = plan.agg((F.max("pos") + 1).alias("n")).first()["n"]
     half = plan.select("rep", F.col("item").alias("block"), F.when(F.col("pos") < n // 2, "A").otherwise("B").alias("half"))
-    drawn = blocks.join(F.broadcast(half), "block").groupBy("rep", "half", "generator", "bin").agg(F.median("v").alias("v"))
-    r = P.arrays(drawn, "rep", "half", "generator")
+    # A half is a few dozen arrays at most: their median is taken inside one row, not by a group for each bin.
+    held = P.arrays(blocks, "generator", "block")
+    drawn = held.join(F.broadcast(half), "block").groupBy("rep", "half", "generator").agg(F.collect_list("r").alias("all"))
+    r = drawn.select("rep", "half", "generator", V.median_of(F.col("all")).alias("r"))
     a = r.where("half = 'A'").select("rep", F.col("generator").alias("ga"), F.col("r").alias("ra"))
     b = r.where("half = 'B'").select("rep", F.col("generator").alias("gb"), F.col("r").alias("rb"))
     likeness = a.join(b, "rep").select("rep", (F.col("ga") == F.col("gb")).alias("same"), V.pearson(F.col("ra"), F.col("rb")).alias("rho"))

@@ -180,8 +180,7 @@ def pairwise_cosine(spark, sf_dir):
 @query(f"""with {PROF}, ranked as (select generator, bin, rank() over (partition by generator order by v) + (count(*) over (partition by generator, v) - 1) / 2.0 as v from prof)
   select a.generator as generator_a, b.generator as generator_b, round(corr(a.v, b.v), 6) as spearman from ranked a join ranked b on a.bin = b.bin and a.generator < b.generator group by 1, 2""")
 def pairwise_spearman(spark, sf_dir):
-    x = P.pairs(generator_profiles(spark, sf_dir), "generator")
-    return x.select("generator_a", "generator_b", r6(V.spearman(F.col("r_a"), F.col("r_b")), "spearman"))
+    return similarity(spark, sf_dir).select("generator_a", "generator_b", r6("spearman"))
 
 
 @query(f"""with {PROF} select a.generator as generator_a, b.generator as generator_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) as euclidean, round(sqrt(avg((a.v - b.v) * (a.v - b.v))), 6) as rmse,
