@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import slices
+from loomvec.llm.textarrays import buffers, release_memory, slices
 
 BUCKETS = 4096
 DIMENSIONS = 16
@@ -101,9 +101,10 @@ class Model:
 
 
 def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], seed: int = 9) -> Model:
-    """``counts``: documents x buckets, ``labels``: index of each one's language."""
+    """``counts``: documents x buckets (scaled in place), ``labels``: index of each one's language."""
     rng = np.random.default_rng(seed)
-    x = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    x = counts
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     n, classes = len(x), len(languages)
     order = rng.permutation(n)
     held = order[: n // 10] if n >= 50 else order
@@ -175,12 +176,19 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 yield pa.RecordBatch.from_arrays([records.column(0).slice(first, last - first), records.column(1).slice(first, last - first), packed], names=["doc_id", "lang", "counts"])
 
     got = sample.mapInArrow(run, "doc_id long, lang string, counts binary").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["counts"].to_pylist(), strict=True))
-    if not rows:
+    if not got.num_rows:
         return None
-    counts = np.stack([np.frombuffer(c, np.float16) for _, _, c in rows]).astype(np.float32)
+    # Rows in the order of their ids, whatever task they came from; the packed counts stay in Arrow's buffer.
+    packed = buffers(got["counts"])[0].view(np.float16).reshape(-1, BUCKETS)
+    lang = got["lang"].to_pylist()
+    order = sorted(range(got.num_rows), key=list(zip(got["doc_id"].to_pylist(), lang, strict=True)).__getitem__)
+    counts = packed[order].astype(np.float32)
+    del got, packed
     names = {k: i for i, k in enumerate(languages)}
-    return train(counts, np.array([names[k] for _, k, _ in rows]), languages)
+    model = train(counts, np.array([names[lang[i]] for i in order]), languages)
+    del counts
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

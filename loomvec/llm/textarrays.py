@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +40,13 @@ def steady_memory() -> None:
         libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
 
 
+def release_memory() -> None:
+    """Gives freed heap back to the system, after a fit on the driver."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (xor-shift-multiply), wrapping."""
     x = x.astype(np.uint64, copy=True)

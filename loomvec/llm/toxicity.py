@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import PolyHash, mix64, slices
+from loomvec.llm.textarrays import PolyHash, mix64, release_memory, slices
 from loomvec.session import materialize
 
 POSITIVE, NEGATIVE = 1500, 4500
@@ -328,6 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     got = _weighed(texts.select("toxic", "text"), model, "toxic int").toArrow()
     x, y = np.log1p(np.array(got["weight"].to_pylist())), np.array(got["toxic"].to_pylist(), float) > 0
     bias, slope = _logistic(x, y)
+    release_memory()
     return Model(entries, benign, bias, slope)
 
 
