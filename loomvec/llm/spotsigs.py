@@ -22,6 +22,7 @@ itself as its next; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,11 +119,12 @@ def _bucket(doc_id: Column, edges: list[int], rows: int) -> Column:
     return at.cast("long") * split + F.coalesce(inner, F.lit(0)).cast("long")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``next_<c>`` of the following row by doc_id, the first after the last.
 
     The id range is cut into windows; the first row of a window also stands at
-    the end of the one before it.
+    the end of the one before it. ``prepare`` adds columns to every row that
+    enters a window, those that stand twice included.
     """
     ids = docs.where("doc_id is not null").select("doc_id")
     rows = ids.count()
@@ -137,7 +139,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     away = -1 - F.pmod(F.xxhash64("text"), F.lit(1024))  # rows without an id stand apart
     own = docs.withColumn("_bucket", F.coalesce(bucket, away)).withColumn("_bucket", F.when(F.col("doc_id").isNull(), away).otherwise(F.col("_bucket"))).withColumn("_extra", F.lit(0))
     line = Window.partitionBy("_bucket").orderBy("_extra", "doc_id", "text")
-    both = own.unionByName(again)
+    both = prepare(own.unionByName(again))
     for c in carried:
         both = both.withColumn(f"next_{c}", F.when(F.col("doc_id").isNotNull(), F.lead(c).over(line)))
     return both.where("_extra = 0").drop("_bucket", "_extra")
@@ -146,7 +148,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness, and that to the next document's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = with_next(spot_signatures(docs, "text", "sigs"), ["text", "sigs"])
+    found = with_next(docs, ["text", "sigs"], lambda df: spot_signatures(df, "text", "sigs"))
     n = F.char_length("text")
     cut = F.floor(n / F.lit(4)).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.coalesce(F.substr(F.col("next_text"), F.lit(1), cut), F.lit("")))
