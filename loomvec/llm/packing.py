@@ -19,12 +19,15 @@ import base64
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from loomvec.llm.textarrays import release_memory, steady_memory
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 #: Tokens that are packed together; about 500 sequences.
 WINDOW_TOKENS = 1 << 20
@@ -60,6 +63,7 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@lru_cache
 def public_encoder(name: str = "byte_bpe_50k") -> Encoder:
     import public_tokenizers as public
 
@@ -105,6 +109,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, linear: float = 1.0, quadrati
     """One row for each piece of each document's ids, with its place in a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         encode = public_encoder(encoder)
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 36
@@ -143,9 +148,10 @@ def pack(docs: DataFrame, *, capacity: int = 2048, linear: float = 1.0, quadrati
                     waiting += len(ids) - full
                 if waiting >= window_tokens:
                     flush()
-                if len(out) >= 20_000:
+                if len(out) >= 5_000:
                     yield batch()
         flush()
         yield batch()
+        release_memory()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
