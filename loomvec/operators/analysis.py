@@ -65,6 +65,26 @@ def within_outside(table: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("inside") - F.col("outside"))
 
 
+def family_contrast(table: DataFrame, draws: DataFrame) -> DataFrame:
+    """(family, kind, n, within, outside, delta) of each draw of positions ``a`` against ``b``.
+
+    Positions count the generators of the pair ``table`` in order. Pairs of one
+    generator with itself are left out inside; a draw without any pair has null.
+    """
+    a, b, cosine = F.col("a"), F.col("b"), F.coalesce("cosine", F.lit(0.0))  # a zero profile is like none
+    sides = [table.select(F.col(f"generator_{x}").alias("g"), F.col(f"generator_{y}").alias("h"), cosine.alias("c")) for x, y in ("ab", "ba")]
+    one = sides[0].unionByName(sides[1])
+    one = one.unionByName(one.select("g", F.col("g").alias("h"), F.lit(1.0).alias("c")).distinct())
+    lines = one.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("h", "c"))).alias("line"))
+    matrix = lines.agg(F.array_sort(F.collect_list(F.struct("g", F.col("line.c").alias("c")))).alias("m")).select(F.col("m.c").alias("m"))
+    look = lambda x, y: F.get(F.get(F.col("m"), x), y)
+    inside = F.flatten(F.transform(a, lambda x, i: F.transform(F.filter(F.slice(a, i + 2, F.size(a)), lambda y: y != x), lambda y: look(x, y))))
+    across = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: look(x, y))))
+    mean = lambda v: V.let(v, lambda v: F.when(F.size(v) > 0, V.total(v) / F.size(v)))
+    out = draws.join(F.broadcast(matrix)).select("family", "kind", F.size("a").alias("n"), mean(inside).alias("within"), mean(across).alias("outside"))
+    return out.withColumn("delta", F.col("within") - F.col("outside"))
+
+
 def centroid_f(long: DataFrame, *by: str) -> DataFrame:
     """PERMANOVA-like F and R2 of (by, generator, family, bin, v)."""
     k = long.groupBy(*by, "family").agg(F.count_distinct("generator").alias("size"))

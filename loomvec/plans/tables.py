@@ -7,6 +7,7 @@ the number of recordings.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from math import comb
 
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+def seed_of(*parts: object) -> int:
+    """First four bytes, big-endian, of the SHA-256 of parts joined by '|', as ``hashing.seed_be4``."""
+    return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:4], "big")
+
+
 def permutations(spark: SparkSession, items: list, repeats: int, seed: int) -> DataFrame:
     """(rep, pos, item): one permutation of ``items`` each."""
     rng = np.random.default_rng(seed)
@@ -61,3 +67,34 @@ def subsets(spark: SparkSession, items: list, size: int, repeats: int, seed: int
         rng = np.random.default_rng(seed)
         chosen = [tuple(items[i] for i in rng.choice(len(items), size=size, replace=False)) for _ in range(repeats)]
     return _table(spark, {"rep": np.repeat(np.arange(len(chosen)), size), "item": np.array(chosen).reshape(-1)})
+
+
+def family_draws(spark: SparkSession, families: list, repeats: int, seed: int, most: int = 50_000) -> DataFrame:
+    """(family, kind, a, b): positions inside and outside of each family in ``families``, one label for each item.
+
+    Kinds: 'observed' (the family itself), 'exact' or 'drawn' (subsets of the
+    family's size and the rest), 'boot' (both sides drawn with replacement).
+    """
+    labels, everything, rows = np.array(families), np.arange(len(families)), []
+    for family in sorted(set(families)):
+        inside, outside = np.flatnonzero(labels == family), np.flatnonzero(labels != family)
+        n, k = len(labels), len(inside)
+        rows.append((family, "observed", inside, outside))
+        if comb(n, k) <= most:
+            kind, chosen = "exact", (np.array(c) for c in itertools.combinations(range(n), k))
+        else:
+            rng = np.random.default_rng(seed_of("H4F_PERM", family, seed))
+            kind, chosen = "drawn", (np.sort(rng.choice(everything, size=k, replace=False)) for _ in range(repeats))
+        rows += [(family, kind, a, np.setdiff1d(everything, a, assume_unique=True)) for a in chosen]
+        if len(outside):
+            rng = np.random.default_rng(seed_of("H4F_BOOT", family, seed))
+            rows += [(family, "boot", rng.choice(inside, size=k, replace=True), rng.choice(outside, size=n - k, replace=True)) for _ in range(repeats)]
+    family, kind, a, b = zip(*rows)
+    return _table(spark, {"family": np.array(family), "kind": np.array(kind), "a": _lists(a), "b": _lists(b)})
+
+
+def _lists(arrays: tuple[np.ndarray, ...]):
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))

@@ -395,12 +395,13 @@ def logo_metrics(spark, sf_dir):
   obs as (select avg(cosine) filter (family_a = 0 and family_b = 0) - avg(cosine) filter (family_a <> family_b and 0 in (family_a, family_b)) as observed from cosines)
   select count(*) as n_subsets, round(observed, 6) as observed, round((1 + count(*) filter (inside - outside >= observed - 1e-9)) / (count(*) + 1.0), 6) as p from d, obs group by observed""")
 def exact_subset_null(spark, sf_dir):
-    """All subsets of family 0's size: how often their contrast reaches the family's own."""
+    """All subsets of family 0's size, or 10,000 where they are too many: how often their contrast reaches the family's own."""
     from loomvec.plans import tables
 
     table = similarity(spark, sf_dir)
-    items = [r["generator"] for r in generator_profiles(spark, sf_dir).select("generator").orderBy("generator").collect()]
-    plan = tables.subsets(spark, items, 3, 0, 1).withColumnRenamed("rep", "mask")
+    found = generator_profiles(spark, sf_dir).select("generator", "family").orderBy("generator").collect()
+    items, size = [r["generator"] for r in found], sum(r["family"] == 0 for r in found)
+    plan = tables.subsets(spark, items, size, 10_000, 1).withColumnRenamed("rep", "mask")
     reps = plan.select("mask").distinct()
     a = plan.select("mask", F.col("item").cast("int").alias("generator_a"), F.lit(True).alias("ia"))
     b = plan.select("mask", F.col("item").cast("int").alias("generator_b"), F.lit(True).alias("ib"))
@@ -411,6 +412,29 @@ def exact_subset_null(spark, sf_dir):
     return joined.groupBy("observed").agg(F.count("*").alias("n_subsets"), r6((1 + F.count_if(F.col("d") >= F.col("observed") - 1e-9)) / (F.count("*") + 1), "p")).select("n_subsets", r6("observed"), "p")
 
 
+@query()
+def family_specific(spark, sf_dir):
+    """Each family's contrast to all others: bootstrap interval, p over subsets of its size, Benjamini-Hochberg over the families."""
+    from loomvec.plans import tables
+
+    profiles = generator_profiles(spark, sf_dir)
+    families = [r["family"] for r in profiles.select("generator", "family").orderBy("generator").collect()]
+    draws = tables.family_draws(spark, families, 10_000, 20260711)
+    return family_tests(A.family_contrast(A.similarity_table(profiles), draws)).select("family", "n", r6("within"), r6("outside"), r6("delta"), r6("low"), r6("high"), r6("p"), r6("q"), "method", "n_null", "n_boot")
+
+
+def family_tests(contrasts: DataFrame) -> DataFrame:
+    """One row for each family from the contrasts of its draws; families without a contrast aren't tested or counted."""
+    seen = contrasts.where("kind = 'observed'").select("family", "n", "within", "outside", "delta")
+    boot = contrasts.where("kind = 'boot'").groupBy("family").agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), F.count("delta").alias("n_boot"))
+    null = contrasts.where("kind in ('exact', 'drawn')").select("family", F.col("kind").alias("method"), F.col("delta").alias("d")).join(F.broadcast(seen.select("family", "delta")), "family")
+    above = F.count_if(F.col("d") >= F.col("delta") - 1e-15)
+    p = F.when(F.col("method") == "exact", above / F.count("*")).otherwise(I.upper_p(F.col("d"), F.col("delta")))
+    null = null.groupBy("family", "method", "delta").agg(p.alias("p"), F.count("*").alias("n_null")).withColumn("p", F.when(F.col("delta").isNotNull(), F.col("p"))).drop("delta")
+    both = seen.join(null, "family").join(boot, "family", "left").na.fill(0, ["n_boot"]).withColumn("tested", F.col("p").isNotNull())
+    return I.benjamini_hochberg(both, "p", "q", "tested").withColumn("q", F.when(F.col("tested"), F.col("q")))
+
+
 @query()
 def family_permutation_null(spark, sf_dir):
     """5,000 label permutations of the family contrast; the pair table is computed once."""
