@@ -97,6 +97,30 @@ def centroid_f(long: DataFrame, *by: str) -> DataFrame:
     return joined.select(*by, ((F.col("ssb") / (F.col("k") - 1)) / F.greatest(ssw / (F.col("n") - F.col("k")), F.lit(1e-15))).alias("pseudo_f"), (F.col("ssb") / F.col("sst")).alias("r2"))
 
 
+def centroid_draws(distances: DataFrame, plan: DataFrame) -> DataFrame:
+    """(rep, pseudo_f, r2, dispersion_f) of each labelling, centroids recomputed, from pair distances alone.
+
+    ``distances``: (a, b, d2) of all ordered pairs, self pairs too; ``plan``:
+    (rep, item, label). A sum of squares is the mean square of pairs, and
+    d2(i, centroid) = mean over j of d2(i, j) - half the mean over j, k.
+    """
+    a = plan.select("rep", "label", F.col("item").alias("a"))
+    near = a.join(plan.select("rep", "label", F.col("item").alias("b")), ["rep", "label"]).join(F.broadcast(distances), ["a", "b"])
+    sums = near.groupBy("rep", "label", "a").agg(F.count("*").alias("n"), F.sum("d2").alias("s"))
+    family = sums.groupBy("rep", "label").agg(F.count("*").alias("n"), F.sum("s").alias("t"), F.array_sort(F.collect_list("s")).alias("s"))
+    half = F.col("t") / (2 * F.col("n") * F.col("n"))
+    family = family.withColumn("d", F.transform("s", lambda s: F.sqrt(F.greatest(s / F.col("n") - half, F.lit(0.0)))))
+    family = family.withColumn("m", V.total(F.col("d")) / F.col("n"))
+    family = family.withColumn("within", V.total(F.transform("d", lambda d: (d - F.col("m")) * (d - F.col("m")))))
+    n, m = F.col("n"), F.col("m")
+    out = family.groupBy("rep").agg(F.sum(n).alias("n"), F.count("*").alias("k"), F.sum(F.col("t") / (2 * n)).alias("ssw"), F.sum("within").alias("dw"), F.sum(n * m).alias("s1"), F.sum(n * m * m).alias("s2"))
+    total = distances.agg((F.sum("d2") / (2 * F.count_distinct("a"))).alias("sst"))
+    between, rest = F.greatest(F.col("k") - 1, F.lit(1)), F.greatest(F.col("n") - F.col("k"), F.lit(1))
+    f = lambda b, w: (b / between) / F.greatest(w / rest, F.lit(1e-15))
+    ssb = F.col("sst") - F.col("ssw")
+    return out.join(F.broadcast(total)).select("rep", f(ssb, F.col("ssw")).alias("pseudo_f"), (ssb / F.greatest("sst", F.lit(1e-15))).alias("r2"), f(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("dw")).alias("dispersion_f"))
+
+
 def dispersion_f(long: DataFrame) -> DataFrame:
     """One-way F of the distances to the own family's mean."""
     centre = long.groupBy("family", "bin").agg(F.avg("v").alias("c"))

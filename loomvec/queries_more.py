@@ -116,13 +116,22 @@ def block_bootstrap(spark, sf_dir):
 
 @query()
 def centroid_permutation_null(spark, sf_dir):
-    """1,000 label permutations of the pseudo-F and its upper p."""
-    z = materialize(scaled_long(spark, sf_dir), "scaled", small=True)
-    labels = {r["generator"]: r["family"] for r in z.select("generator", "family").distinct().orderBy("generator").collect()}
-    plan = tables.label_permutations(spark, labels, 1000, 42).select("rep", F.col("item").cast("int").alias("generator"), F.col("label").alias("family"))
-    null = A.centroid_f(z.drop("family").join(F.broadcast(plan), "generator"), "rep")
-    observed = A.centroid_f(z).select(F.col("pseudo_f").alias("observed"))
-    return null.join(F.broadcast(observed)).groupBy("observed").agg(F.count("*").alias("n_draws"), r6(I.upper_p(F.col("pseudo_f"), F.col("observed"), 0.0), "p")).select(r6("observed"), "n_draws", "p")
+    """5,000 label permutations of pseudo-F, R2 and the dispersion F, with their upper p."""
+    r = materialize(P.arrays(scaled_long(spark, sf_dir), "generator", "family"), "scaled", small=True)
+    labels = {x["generator"]: x["family"] for x in r.select("generator", "family").orderBy("generator").collect()}
+    plan = tables.label_permutations(spark, labels, 5000, 42).unionByName(r.select(F.lit(-1).cast("long").alias("rep"), F.col("generator").cast("long").alias("item"), F.col("family").cast("long").alias("label")))
+    a, b = (r.select(F.col("generator").cast("long").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
+    distances = a.join(b).select("a", "b", F.pow(V.euclidean(F.col("ra"), F.col("rb")), 2).alias("d2"))
+    return centroid_tests(A.centroid_draws(distances, plan)).select(r6("observed"), "n_draws", r6("p"), r6("r2"), r6("p_r2"), r6("dispersion_f"), r6("p_dispersion"))
+
+
+def centroid_tests(draws):
+    """One row of observed values (rep -1) and upper p-values; the same grouping drawn again counts as equal."""
+    seen = draws.where("rep < 0").select(F.col("pseudo_f").alias("observed"), F.col("r2").alias("seen_r2"), F.col("dispersion_f").alias("seen_d"))
+    p = lambda c, o: I.upper_p(F.col(c), F.col(o), 1e-9)
+    out = draws.where("rep >= 0").join(F.broadcast(seen)).groupBy("observed", "seen_r2", "seen_d")
+    out = out.agg(F.count("*").alias("n_draws"), p("pseudo_f", "observed").alias("p"), p("r2", "seen_r2").alias("p_r2"), p("dispersion_f", "seen_d").alias("p_dispersion"))
+    return out.withColumnsRenamed({"seen_r2": "r2", "seen_d": "dispersion_f"})
 
 
 @query()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomvec import queries as Q
+from loomvec import queries_more as M
 from loomvec.operators import analysis as A
 from loomvec.plans import tables
 
@@ -54,3 +55,35 @@ def test_all_families_of_the_table(spark, sf_dir):
     assert sorted(rows) == [0, 1, 2, 3] and all(r.p >= 0 and r.q >= r.p and r.low <= r.high for r in rows.values())
     assert {r.n for r in rows.values()} == {2, 3} and {r.n_null for r in rows.values()} == {45, 120}
     assert all(r.within is not None and r.outside is not None for r in rows.values()) and set(single) == set(rows)
+
+
+def oneway(x, labels):
+    """Pseudo-F, R2 and dispersion F straight from centroids."""
+    groups, n = np.unique(labels), len(x)
+    centre = np.array([x[labels == labels[i]].mean(axis=0) for i in range(n)])
+    total, within = ((x - x.mean(axis=0)) ** 2).sum(), ((x - centre) ** 2).sum()
+    f = lambda b, w: (b / (len(groups) - 1)) / (w / (n - len(groups)))
+    d = np.linalg.norm(x - centre, axis=1)
+    own = np.array([d[labels == labels[i]].mean() for i in range(n)])
+    return f(total - within, within), 1 - within / total, f(((own - d.mean()) ** 2).sum(), ((d - own) ** 2).sum())
+
+
+def test_centroid_nulls_from_pairs(spark):
+    labels = {i: v for i, v in enumerate([0, 0, 0, 1, 1, 1, 2, 2])}
+    x, known = np.random.default_rng(8).normal(size=(8, 5)), np.array(list(labels.values()))
+    d2 = spark.createDataFrame([(i, j, float(((x[i] - x[j]) ** 2).sum())) for i in range(8) for j in range(8)], "a long, b long, d2 double")
+    plan = tables.label_permutations(spark, labels, 200, 42).unionByName(spark.createDataFrame([(-1, i, v) for i, v in labels.items()], "rep long, item long, label long"))
+    draws = A.centroid_draws(d2, plan)
+    rng = np.random.default_rng(42)
+    null = np.array([oneway(x, known[rng.permutation(8)]) for _ in range(200)])
+    got = {r.rep: (r.pseudo_f, r.r2, r.dispersion_f) for r in draws.collect()}
+    assert np.array([got[i] for i in range(200)]) == pytest.approx(null) and got[-1] == pytest.approx(oneway(x, known))
+    r = M.centroid_tests(draws).first()
+    want = [(1 + (null[:, k] >= oneway(x, known)[k] - 1e-9).sum()) / 201 for k in range(3)]
+    assert [r.p, r.p_r2, r.p_dispersion] == pytest.approx(want) and r.n_draws == 200
+
+
+def test_centroid_query_agrees_with_the_observed_values(spark, sf_dir):
+    r = M.centroid_permutation_null(spark, sf_dir).first()
+    seen, spread = Q.QUERIES["pseudo_f"](spark, sf_dir).first(), Q.QUERIES["dispersion_f"](spark, sf_dir).first()
+    assert r.n_draws == 5000 and (r.observed, r.r2, r.dispersion_f) == pytest.approx((seen.pseudo_f, seen.r2, spread.dispersion_f), abs=2e-6)
