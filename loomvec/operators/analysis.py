@@ -85,6 +85,20 @@ def family_contrast(table: DataFrame, draws: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("within") - F.col("outside"))
 
 
+def subset_likeness(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(test, fam, n, real, rho): likeness of the medians of two groups of generators, of contexts 0 and 1.
+
+    ``profiles``: (ctx, generator, r); ``pairs``: (test, fam, n, real, a, b). A
+    group's median is computed once, however many pairs hold it.
+    """
+    sides = [pairs.select(F.lit(ctx).alias("ctx"), F.col(side).alias("s")) for ctx, side in ((0, "a"), (1, "b"))]
+    members = sides[0].unionByName(sides[1]).distinct().select("ctx", "s", F.explode("s").alias("generator"))
+    medians = members.join(F.broadcast(profiles.select("ctx", "generator", "r")), ["ctx", "generator"]).groupBy("ctx", "s").agg(F.collect_list("r").alias("all"))
+    medians = medians.select("ctx", "s", V.median_of(F.col("all")).alias("r"))
+    left, right = (medians.where(f"ctx = {ctx}").select(F.col("s").alias(side), F.col("r").alias(f"r{side}")) for ctx, side in ((0, "a"), (1, "b")))
+    return pairs.join(left, "a").join(right, "b").select("test", "fam", "n", "real", V.pearson(F.col("ra"), F.col("rb")).alias("rho"))
+
+
 def centroid_f(long: DataFrame, *by: str) -> DataFrame:
     """PERMANOVA-like F and R2 of (by, generator, family, bin, v)."""
     k = long.groupBy(*by, "family").agg(F.count_distinct("generator").alias("size"))

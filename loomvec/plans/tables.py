@@ -69,6 +69,34 @@ def subsets(spark: SparkSession, items: list, size: int, repeats: int, seed: int
     return _table(spark, {"rep": np.repeat(np.arange(len(chosen)), size), "item": np.array(chosen).reshape(-1)})
 
 
+def paired_subsets(spark: SparkSession, comparisons: list[tuple], repeats: int, seed: int) -> DataFrame:
+    """(test, fam, n, real, a, b): draws of two groups' sizes from two pools, and the groups themselves (``real``).
+
+    ``comparisons``: (test, fam, group_a, pool_a, group_b, pool_b). The draws of
+    a comparison alternate in one stream; equal ones are one row, ``n`` counts them.
+    """
+    keys, ns, reals, a, b = [], [], [], [], []
+    for test, fam, group_a, pool_a, group_b, pool_b in comparisons:
+        rng = np.random.default_rng(seed_of("H3b_perm", test, fam, seed))
+        na, nb = len(group_a), len(group_b)
+        drawn = np.empty((repeats + 1, na + nb), np.int32)
+        drawn[repeats] = [*group_a, *group_b]
+        for rep in range(repeats):
+            drawn[rep, :na] = np.array(pool_a)[rng.choice(len(pool_a), size=na, replace=False)]
+            drawn[rep, na:] = np.array(pool_b)[rng.choice(len(pool_b), size=nb, replace=False)]
+        drawn[:, :na].sort(axis=1)
+        drawn[:, na:].sort(axis=1)
+        found, at, n = np.unique(drawn, axis=0, return_inverse=True, return_counts=True)
+        real = np.arange(len(found)) == at.reshape(-1)[repeats]
+        keys += [(test, fam)] * len(found)
+        ns.append(n - real)
+        reals.append(real)
+        a += list(found[:, :na])
+        b += list(found[:, na:])
+    test, fam = zip(*keys)
+    return _table(spark, {"test": np.array(test), "fam": np.array(fam), "n": np.concatenate(ns), "real": np.concatenate(reals), "a": _lists(a), "b": _lists(b)})
+
+
 def family_draws(spark: SparkSession, families: list, repeats: int, seed: int, most: int = 50_000) -> DataFrame:
     """(family, kind, a, b): positions inside and outside of each family in ``families``, one label for each item.
 
@@ -93,7 +121,7 @@ def family_draws(spark: SparkSession, families: list, repeats: int, seed: int, m
     return _table(spark, {"family": np.array(family), "kind": np.array(kind), "a": _lists(a), "b": _lists(b)})
 
 
-def _lists(arrays: tuple[np.ndarray, ...]):
+def _lists(arrays: list[np.ndarray] | tuple[np.ndarray, ...]):
     import pyarrow as pa
 
     ends = np.cumsum([0, *map(len, arrays)])

@@ -79,27 +79,24 @@ def h3b_observed(spark, sf_dir):
 
 @query()
 def h3b_table(spark, sf_dir):
-    """Observed likeness, its null from random groups of the same family and sizes, Holm over architectures."""
+    """Observed likeness, its null from 10,000 random groups of the same family and sizes, Holm over the comparisons."""
     profiles = materialize(context_profiles(spark, sf_dir), "context-profiles", small=True)
     groups = {}
     for r in profiles.select("ctx", "generator", "arch", "family").orderBy("ctx", "generator").collect():
         groups.setdefault((r["ctx"], r["family"]), []).append(r["generator"])
         groups.setdefault((r["ctx"], r["family"], r["arch"]), []).append(r["generator"])
-    plan = None
-    for key, members in sorted((k, v) for k, v in groups.items() if len(k) == 3):
-        ctx, family, arch = key
-        drawn = tables.subsets(spark, groups[ctx, family], len(members), 500, 17 + 10 * int(ctx) + int(arch), most=0)
-        drawn = drawn.select("rep", F.col("item").cast("int").alias("generator"), F.lit(ctx).alias("ctx"), F.lit(arch).alias("test"), F.lit(family).alias("fam"))
-        real = profiles.where((F.col("ctx") == ctx) & (F.col("arch") == arch) & (F.col("family") == family)).select(F.lit(-1).cast("long").alias("rep"), "generator", "ctx", F.col("arch").alias("test"), F.col("family").alias("fam"))
-        for part in (drawn, real):
-            plan = part if plan is None else plan.unionByName(part)
-    picked = profiles.select("ctx", "generator", F.posexplode("r").alias("bin", "v")).join(F.broadcast(plan), ["ctx", "generator"])
-    r = P.arrays(picked.groupBy("rep", "test", "fam", "ctx", "bin").agg(F.median("v").alias("v")), "rep", "test", "fam", "ctx")
-    a, b = r.where("ctx = 0").select("rep", "test", "fam", F.col("r").alias("ra")), r.where("ctx = 1").select("rep", "test", "fam", F.col("r").alias("rb"))
-    rho = a.join(b, ["rep", "test", "fam"]).select("rep", "test", "fam", V.pearson(F.col("ra"), F.col("rb")).alias("rho"))
-    seen = rho.where("rep < 0").select("test", "fam", F.col("rho").alias("observed"))
-    p = rho.where("rep >= 0").join(F.broadcast(seen), ["test", "fam"]).groupBy("test", "fam", "observed").agg(I.upper_p(F.col("rho"), F.col("observed")).alias("p"))
-    return I.holm(p, "p", "p_holm").select("test", "fam", r6("observed"), r6("p"), r6("p_holm"))
+    comparisons = [(arch, fam, groups[0, fam, arch], groups[0, fam], groups[1, fam, arch], groups[1, fam]) for ctx, fam, arch in sorted(k for k in groups if len(k) == 3 and k[0] == 0) if (1, fam, arch) in groups]
+    plan = tables.paired_subsets(spark, comparisons, 10_000, 20260711)
+    return h3b_tests(A.subset_likeness(profiles, plan)).select("test", "fam", "n_draws", r6("observed"), r6("p"), r6("p_holm"))
+
+
+def h3b_tests(likeness):
+    """Observed likeness, upper p over the draws and Holm over all comparisons."""
+    seen = likeness.where("real").select("test", "fam", F.col("rho").alias("observed"))
+    counted = likeness.join(F.broadcast(seen), ["test", "fam"]).groupBy("test", "fam", "observed")
+    above = F.sum(F.when(F.col("rho") >= F.col("observed") - 1e-15, F.col("n")).otherwise(0))
+    p = counted.agg(F.sum("n").alias("n_draws"), ((above + 1) / (F.sum("n") + 1)).alias("p"))
+    return I.holm(p, "p", "p_holm")
 
 
 @query()

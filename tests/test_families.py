@@ -87,3 +87,24 @@ def test_centroid_query_agrees_with_the_observed_values(spark, sf_dir):
     r = M.centroid_permutation_null(spark, sf_dir).first()
     seen, spread = Q.QUERIES["pseudo_f"](spark, sf_dir).first(), Q.QUERIES["dispersion_f"](spark, sf_dir).first()
     assert r.n_draws == 5000 and (r.observed, r.r2, r.dispersion_f) == pytest.approx((seen.pseudo_f, seen.r2, spread.dispersion_f), abs=2e-6)
+
+
+def test_h3b_nulls_against_numpy(spark):
+    x = np.random.default_rng(4).normal(size=(2, 6, 7)) + np.linspace(0, 2, 7)
+    profiles = spark.createDataFrame([(c, g, x[c, g].tolist()) for c in range(2) for g in range(6)], "ctx int, generator int, r array<double>")
+    comparisons = [(0, 1, [0, 1], [0, 1, 2, 3, 4], [3, 0, 5], [0, 1, 3, 5]), (2, 1, [4], [0, 1, 2, 3, 4], [1], [0, 1, 3, 5])]
+    got = {r.test: r for r in M.h3b_tests(A.subset_likeness(profiles, tables.paired_subsets(spark, comparisons, 400, 9))).collect()}
+    rho = lambda a, b: np.corrcoef(np.median(x[0, a], axis=0), np.median(x[1, b], axis=0))[0, 1]
+    want = {}
+    for test, fam, ga, pa, gb, pb in comparisons:
+        rng = np.random.default_rng(tables.seed_of("H3b_perm", test, fam, 9))
+        null = [rho(np.array(pa)[rng.choice(len(pa), len(ga), replace=False)], np.array(pb)[rng.choice(len(pb), len(gb), replace=False)]) for _ in range(400)]
+        want[test] = (1 + sum(v >= rho(ga, gb) - 1e-12 for v in null)) / 401
+        assert (got[test].n_draws, got[test].observed, got[test].p) == (400, pytest.approx(rho(ga, gb)), pytest.approx(want[test]))
+    first, last = sorted(want, key=want.get)
+    assert got[first].p_holm == pytest.approx(min(1, 2 * want[first])) and got[last].p_holm == pytest.approx(min(1, max(2 * want[first], want[last])))
+
+
+def test_h3b_takes_all_draws(spark, sf_dir):
+    rows = M.h3b_table(spark, sf_dir).collect()
+    assert rows and {r.n_draws for r in rows} == {10_000}
