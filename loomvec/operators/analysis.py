@@ -177,6 +177,21 @@ def logo_predictions(scores: DataFrame) -> DataFrame:
     return best.select("fold", "true", F.col("b.family").alias("predicted"))
 
 
+def logo_draws(arrays: DataFrame, plan: DataFrame) -> DataFrame:
+    """(rep, fold, true, predicted) under each labelling; folds and their adjustment stay as they are.
+
+    ``arrays``: (fold, generator, held, z), scaled and normalised; ``plan``: (rep, generator, family).
+    """
+    labelled = arrays.join(F.broadcast(plan), "generator")
+    # A family's training profiles are a few dozen arrays: their median is taken inside one row, not by a group for each bin.
+    train = labelled.where("not held").groupBy("rep", "fold", "family").agg(F.collect_list("z").alias("all"))
+    proto = train.select("rep", "fold", "family", V.l2_normalised(V.median_of(F.col("all"))).alias("p"))
+    test = labelled.where("held").select("rep", "fold", F.col("family").alias("true"), "z")
+    scores = test.join(proto, ["rep", "fold"]).select("rep", "fold", "true", "family", V.dot(F.col("z"), F.col("p")).alias("score"))
+    best = scores.groupBy("rep", "fold", "true").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), F.col("family"))).alias("b"))
+    return best.select("rep", "fold", "true", F.col("b.family").alias("predicted"))
+
+
 def split_halves(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     """(rep, delta): same-generator less other-generator likeness of half profiles.
 

@@ -86,6 +86,15 @@ def class_scores(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return both.agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced_accuracy"), F.avg(2 * F.col("hit") / (F.col("n") + F.col("m"))).alias("macro_f1"))
 
 
+def class_scores_by(df: DataFrame, true: str, predicted: str, classes: int, *by: str) -> DataFrame:
+    """(by, ba, f1): balanced accuracy over the true classes and macro F1 over all ``classes`` (0 for one that never occurs)."""
+    hit = F.col(true) == F.col(predicted)
+    sides = F.array(F.struct(F.col(true).alias("c"), F.lit(1).alias("n"), F.lit(0).alias("m"), hit.cast("int").alias("hit")), F.struct(F.col(predicted).alias("c"), F.lit(0).alias("n"), F.lit(1).alias("m"), F.lit(0).alias("hit")))
+    per = df.select(*by, F.inline(sides)).groupBy(*by, "c").agg(*[F.sum(x).alias(x) for x in ("n", "m", "hit")])
+    recall = F.when(F.col("n") > 0, F.col("hit") / F.nullif("n", F.lit(0)))
+    return per.groupBy(*by).agg(F.avg(recall).alias("ba"), (F.sum(2 * F.col("hit") / (F.col("n") + F.col("m"))) / classes).alias("f1"))
+
+
 def h4_verdict(delta: Column, p: dict[str, Column], alpha: float = 0.05) -> Column:
     """SUPPORTED only if the difference is positive, four tests reject and the dispersion test doesn't."""
     ok = (delta > 0) & (p["dispersion"] >= alpha)

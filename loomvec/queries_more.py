@@ -133,22 +133,22 @@ def centroid_tests(draws):
 
 @query()
 def logo_permutation_null(spark, sf_dir):
-    """200 label permutations of the leave-one-out accuracy; folds and adjustment stay as they are."""
+    """1,000 label permutations of the leave-one-out balanced accuracy and macro F1; folds and adjustment stay as they are."""
     folds = A.fold_profiles(cells(spark, sf_dir))
     z = P.scaled(folds, P.robust_scale(folds.where("not held").select("fold", "bin", "v"), "fold"), "fold")
     arrays = materialize(P.arrays(z, "fold", "generator", "family", "held").withColumn("z", V.l2_normalised(F.col("r"))).select("fold", "generator", "family", "held", "z"), "fold-scores", small=True)
     labels = {r["generator"]: r["family"] for r in arrays.select("generator", "family").distinct().orderBy("generator").collect()}
-    plan = tables.label_permutations(spark, labels, 200, 44).select("rep", F.col("item").cast("int").alias("generator"), F.col("label").cast("int").alias("family"))
+    plan = tables.label_permutations(spark, labels, 1000, 44).select("rep", F.col("item").cast("int").alias("generator"), F.col("label").cast("int").alias("family"))
     plan = plan.unionByName(arrays.select(F.lit(-1).cast("long").alias("rep"), "generator", "family").distinct())
-    labelled = arrays.drop("family").join(F.broadcast(plan), "generator")
-    train = labelled.where("not held").select("rep", "fold", "family", F.posexplode("z").alias("bin", "v"))
-    proto = P.arrays(train.groupBy("rep", "fold", "family", "bin").agg(F.median("v").alias("v")), "rep", "fold", "family").withColumn("p", V.l2_normalised(F.col("r"))).select("rep", "fold", "family", "p")
-    test = labelled.where("held").select("rep", "fold", F.col("family").alias("true"), "z")
-    scores = test.join(proto, ["rep", "fold"]).select("rep", "fold", "true", "family", V.dot(F.col("z"), F.col("p")).alias("score"))
-    best = scores.groupBy("rep", "fold", "true").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), F.col("family"))).alias("b"))
-    per = best.groupBy("rep", "true").agg(F.avg((F.col("true") == F.col("b.family")).cast("double")).alias("recall")).groupBy("rep").agg(F.avg("recall").alias("ba"))
-    seen = per.where("rep < 0").select(F.col("ba").alias("observed"))
-    return per.where("rep >= 0").join(F.broadcast(seen)).groupBy("observed").agg(F.count("*").alias("n_draws"), r6(I.upper_p(F.col("ba"), F.col("observed"), 0.0), "p")).select(r6("observed"), "n_draws", "p")
+    scores = I.class_scores_by(A.logo_draws(arrays.drop("family"), plan), "true", "predicted", len(set(labels.values())), "rep")
+    return logo_tests(scores).select(r6("observed"), "n_draws", r6("p"), r6("macro_f1"), r6("p_macro_f1"))
+
+
+def logo_tests(scores):
+    """One row of observed scores (rep -1) and upper p-values."""
+    seen = scores.where("rep < 0").select(F.col("ba").alias("observed"), F.col("f1").alias("macro_f1"))
+    out = scores.where("rep >= 0").join(F.broadcast(seen)).groupBy("observed", "macro_f1")
+    return out.agg(F.count("*").alias("n_draws"), I.upper_p(F.col("ba"), F.col("observed"), 1e-12).alias("p"), I.upper_p(F.col("f1"), F.col("macro_f1"), 1e-12).alias("p_macro_f1"))
 
 
 @query(f"with {SCALED}, d as (select a.generator as ga, b.generator as gb, any_value(a.family) as fa, any_value(b.family) as fb, sum((a.v - b.v) * (a.v - b.v)) as d2 from z a join z b on a.bin = b.bin group by 1, 2), k as (select fa as family, count(distinct ga) as n from d group by 1) select round(sum(d2 / (2.0 * n)), 6) as ssw, count(*) as n_pairs from d join k on fa = k.family and fb = k.family")

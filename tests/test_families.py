@@ -8,6 +8,7 @@ import pytest
 from loomvec import queries as Q
 from loomvec import queries_more as M
 from loomvec.operators import analysis as A
+from loomvec.operators import inference as I
 from loomvec.plans import tables
 
 
@@ -108,3 +109,40 @@ def test_h3b_nulls_against_numpy(spark):
 def test_h3b_takes_all_draws(spark, sf_dir):
     rows = M.h3b_table(spark, sf_dir).collect()
     assert rows and {r.n_draws for r in rows} == {10_000}
+
+
+def test_logo_nulls_against_numpy(spark):
+    labels = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+    z = np.random.default_rng(6).normal(size=(8, 8, 5)) + np.eye(3, 5)[labels] * 2  # fold, generator, bin
+    z /= np.linalg.norm(z, axis=2, keepdims=True)
+    arrays = spark.createDataFrame([(f, g, f == g, z[f, g].tolist()) for f in range(8) for g in range(8)], "fold int, generator int, held boolean, z array<double>")
+    plan = tables.label_permutations(spark, {i: int(v) for i, v in enumerate(labels)}, 60, 44).selectExpr("rep", "cast(item as int) generator", "cast(label as int) family")
+    plan = plan.unionByName(spark.createDataFrame([(-1, i, int(v)) for i, v in enumerate(labels)], "rep long, generator int, family int"))
+
+    def scored(y):
+        predicted = []
+        for f in range(8):
+            others, scores = np.arange(8) != f, []
+            for c in range(3):
+                p = np.median(z[f, others & (y == c)], axis=0)
+                scores.append(z[f, f] @ p / np.linalg.norm(p))
+            predicted.append(int(np.argmax(scores)))
+        predicted, recall, f1 = np.array(predicted), [], []
+        for c in range(3):
+            hit, n, m = ((y == c) & (predicted == c)).sum(), (y == c).sum(), (predicted == c).sum()
+            recall.append(hit / n)
+            f1.append(2 * hit / (n + m))
+        return np.mean(recall), np.mean(f1)
+
+    scores = I.class_scores_by(A.logo_draws(arrays, plan), "true", "predicted", 3, "rep")
+    rng = np.random.default_rng(44)
+    null, seen = np.array([scored(labels[rng.permutation(8)]) for _ in range(60)]), scored(labels)
+    got = {r.rep: (r.ba, r.f1) for r in scores.collect()}
+    assert np.array([got[i] for i in range(60)]) == pytest.approx(null) and got[-1] == pytest.approx(seen)
+    r = M.logo_tests(scores).first()
+    assert (r.n_draws, r.p, r.p_macro_f1) == (60, *[pytest.approx((1 + (null[:, k] >= seen[k] - 1e-12).sum()) / 61) for k in range(2)])
+
+
+def test_logo_query_agrees_with_the_observed_scores(spark, sf_dir):
+    r, seen = M.logo_permutation_null(spark, sf_dir).first(), Q.QUERIES["logo_metrics"](spark, sf_dir).first()
+    assert r.n_draws == 1000 and (r.observed, r.macro_f1) == pytest.approx((seen.balanced_accuracy, seen.macro_f1), abs=2e-6)
