@@ -192,20 +192,38 @@ def logo_draws(arrays: DataFrame, plan: DataFrame) -> DataFrame:
     return best.select("rep", "fold", "true", F.col("b.family").alias("predicted"))
 
 
+def _block_matrices(blocks: DataFrame) -> DataFrame:
+    """(generator, n_blocks, m): each generator's blocks in order as one array of arrays."""
+    held = P.arrays(blocks, "generator", "n_blocks", "block").groupBy("generator", "n_blocks")
+    return held.agg(F.array_sort(F.collect_list(F.struct("block", "r"))).alias("m")).select("generator", "n_blocks", F.col("m.r").alias("m"))
+
+
+def _redrawn(items: Column) -> Column:
+    """Median of the blocks of ``m`` at the given positions, repeated ones counted as often."""
+    return V.let(F.transform(items, lambda i: F.get(F.col("m"), i.cast("int"))), V.median_of)
+
+
+def redrawn_blocks(blocks: DataFrame, plan: DataFrame) -> DataFrame:
+    """(generator, rep, rho, rmse): medians of redrawn blocks against those of all.
+
+    ``blocks``: (generator, n_blocks, block, bin, v); ``plan``: (n_blocks, rep, items).
+    """
+    matrices = _block_matrices(blocks).withColumn("full", V.median_of(F.col("m")))
+    drawn = plan.join(F.broadcast(matrices), "n_blocks")
+    both = V.let(_redrawn(F.col("items")), lambda r: F.struct(V.pearson(r, F.col("full")).alias("rho"), V.rmse(r, F.col("full")).alias("rmse")))
+    return drawn.select("generator", "rep", both.alias("s")).select("generator", "rep", "s.rho", "s.rmse")
+
+
 def split_halves(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     """(rep, delta): same-generator less other-generator likeness of half profiles.
 
-    ``blocks``: (generator, block, bin, v); ``plan``: (rep, pos, item), a
-    permutation of the blocks; the first half is A.
+    ``blocks``: (generator, n_blocks, block, bin, v); ``plan``: (n_blocks, rep,
+    items), permutations of the blocks; the first half is A.
     """
-    n = plan.agg((F.max("pos") + 1).alias("n")).first()["n"]
-    half = plan.select("rep", F.col("item").alias("block"), F.when(F.col("pos") < n // 2, "A").otherwise("B").alias("half"))
-    # A half is a few dozen arrays at most: their median is taken inside one row, not by a group for each bin.
-    held = P.arrays(blocks, "generator", "block")
-    drawn = held.join(F.broadcast(half), "block").groupBy("rep", "half", "generator").agg(F.collect_list("r").alias("all"))
-    r = drawn.select("rep", "half", "generator", V.median_of(F.col("all")).alias("r"))
-    a = r.where("half = 'A'").select("rep", F.col("generator").alias("ga"), F.col("r").alias("ra"))
-    b = r.where("half = 'B'").select("rep", F.col("generator").alias("gb"), F.col("r").alias("rb"))
+    drawn = plan.join(F.broadcast(_block_matrices(blocks)), "n_blocks")
+    half = F.floor(F.col("n_blocks") / 2).cast("int")
+    a = drawn.select("rep", F.col("generator").alias("ga"), _redrawn(F.slice("items", F.lit(1), half)).alias("ra"))
+    b = drawn.select("rep", F.col("generator").alias("gb"), _redrawn(F.slice("items", half + 1, F.col("n_blocks").cast("int"))).alias("rb"))
     likeness = a.join(b, "rep").select("rep", (F.col("ga") == F.col("gb")).alias("same"), V.pearson(F.col("ra"), F.col("rb")).alias("rho"))
     return likeness.groupBy("rep").agg((F.avg(F.when(F.col("same"), F.col("rho"))) - F.avg(F.when(~F.col("same"), F.col("rho")))).alias("delta"), F.min(F.when(F.col("same"), F.col("rho"))).alias("least_same"))
 

@@ -42,6 +42,18 @@ def bootstraps(spark: SparkSession, items: list, repeats: int, seed: int) -> Dat
     return _table(spark, {"rep": np.repeat(np.arange(repeats), n), "pos": np.tile(np.arange(n), repeats), "item": np.array(items)[drawn]})
 
 
+def block_draws(spark: SparkSession, sizes: list[int], repeats: int, seeds: list[int], replace: bool) -> DataFrame:
+    """(n_blocks, rep, items): redraws (or with ``replace`` false permutations) of 0 to n_blocks - 1, for each size and seed."""
+    n, rep, items = [], [], []
+    for size in sizes:
+        for s, seed in enumerate(seeds):
+            rng = np.random.default_rng(seed)
+            n += [size] * repeats
+            rep += range(s * repeats, (s + 1) * repeats)
+            items += [rng.choice(size, size=size, replace=True) if replace else rng.permutation(size) for _ in range(repeats)]
+    return _table(spark, {"n_blocks": np.array(n), "rep": np.array(rep), "items": _lists(items)})
+
+
 def stratified_bootstraps(spark: SparkSession, groups: dict, repeats: int, seed: int) -> DataFrame:
     """(rep, pos, item, stratum): draws with replacement within each stratum."""
     rng = np.random.default_rng(seed)

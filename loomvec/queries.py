@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomvec.functions import hashing as H
 from loomvec.functions import text as T
@@ -478,6 +479,17 @@ def hash_blocks(spark, sf_dir, n=8):
     return x.groupBy("generator", "block", "bin").agg(F.median("v").alias("v"))
 
 
+def cell_blocks(x: DataFrame) -> DataFrame:
+    """(generator, n_blocks, block, bin, v): block medians, min(50, max(4, rows / 4)) blocks for each generator by hash rank."""
+    rows = x.groupBy("generator").agg(F.count("*").alias("rows"))
+    n = F.when(F.col("rows") < 4, F.raise_error(F.lit("a generator has fewer rows than blocks"))).otherwise(F.least(F.lit(50), F.greatest(F.lit(4), F.floor(F.col("rows") / 4))))
+    line = Window.partitionBy("generator").orderBy(H.seed_hex16(F.lit("BLOCK"), F.col("generator"), F.col("vec_id")), "vec_id")
+    ranked = x.select("generator", "vec_id").withColumn("rank", F.row_number().over(line) - 1).join(F.broadcast(rows.select("generator", n.cast("int").alias("n_blocks"))), "generator")
+    blocked = x.join(ranked.select("generator", "vec_id", "n_blocks", (F.col("rank") % F.col("n_blocks")).cast("int").alias("block")), ["generator", "vec_id"])
+    keys = ("generator", "n_blocks", "block")
+    return P.bin_medians(P.long_view(blocked, "embedding", *keys), *keys).drop("n_pairs")
+
+
 BLOCKS = LONG + """,
 bl as (select generator, ((('0x' || substr(sha256('BLOCK||' || vec_id::varchar), 1, 16))::ubigint)::hugeint % 4294967295 % 8)::int as block, bin, median(v) as v from long group by all)"""
 
@@ -499,8 +511,9 @@ def split_half_contrast(spark, sf_dir):
     from loomvec.plans import tables
     from loomvec.session import materialize
 
-    blocks = materialize(hash_blocks(spark, sf_dir), "blocks")
-    plan = tables.permutations(spark, list(range(8)), 200, 7)
+    blocks = materialize(cell_blocks(vectors(spark, sf_dir)), "blocks")
+    sizes = sorted(r["n_blocks"] for r in blocks.select("n_blocks").distinct().collect())
+    plan = tables.block_draws(spark, sizes, 200, [7], replace=False)
     return A.split_halves(blocks, plan).select("rep", r6("delta"), r6("least_same"))
 
 

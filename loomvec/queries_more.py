@@ -10,7 +10,7 @@ from loomvec.operators import inference as I
 from loomvec.operators import manifest as M
 from loomvec.operators import profiles as P
 from loomvec.plans import tables
-from loomvec.queries import BLOCKS, SCALED, cells, hash_blocks, long, query, r6, scaled_long, similarity, vectors
+from loomvec.queries import BLOCKS, SCALED, cell_blocks, cells, hash_blocks, long, query, r6, scaled_long, similarity, vectors
 from loomvec.session import materialize, read_table
 
 FALSE = BLOCKS + """,
@@ -101,13 +101,10 @@ def h3b_tests(likeness):
 
 @query()
 def block_bootstrap(spark, sf_dir):
-    """Fingerprints of redrawn blocks against the full one: likeness and distance by generator."""
-    blocks = materialize(hash_blocks(spark, sf_dir), "blocks")
-    plan = tables.bootstraps(spark, list(range(8)), 200, 11)
-    full = P.arrays(blocks.groupBy("generator", "bin").agg(F.median("v").alias("v")), "generator").withColumnRenamed("r", "full")
-    drawn = blocks.join(F.broadcast(plan), blocks["block"] == plan["item"]).groupBy("rep", "generator", "bin").agg(F.median("v").alias("v"))
-    both = P.arrays(drawn, "rep", "generator").join(F.broadcast(full), "generator")
-    x = both.select("generator", V.pearson(F.col("r"), F.col("full")).alias("rho"), V.rmse(F.col("r"), F.col("full")).alias("rmse"))
+    """Fingerprints of redrawn blocks (500 redraws of three seeds) against the full one: likeness and distance by generator."""
+    blocks = materialize(cell_blocks(vectors(spark, sf_dir)), "blocks")
+    sizes = sorted(r["n_blocks"] for r in blocks.select("n_blocks").distinct().collect())
+    x = A.redrawn_blocks(blocks, tables.block_draws(spark, sizes, 500, [20260711, 20260729, 20260817], replace=True))
     return x.groupBy("generator").agg(F.count("*").alias("n"), r6(F.avg("rho"), "rho"), r6(F.percentile("rho", 0.025), "rho_low"), r6(F.avg("rmse"), "rmse"))
 
 
