@@ -2,43 +2,45 @@
 
 A document's set holds its distinct shingles of five words. Sets are put into
 size bands such that partners lie in one band or in the next. For one
-instance (smaller set in band i) two partners differ in at most k shingles;
-the feature domain is dealt into n > k partitions, so partners agree in at
-least n - k partitions, and each partition's content is a signature. With a
-second level of one this is the subset enumeration of PartEnum at its
-cheapest: k + 1 signatures and some to spare.
-
-Exactness. A set's partition may be empty, and a signature may be shared by
-very many documents (a common passage). Neither is needed: as long as a set
-has at least k + 1 partitions that are neither, every partner of it still
-shares one of those. A set with too few partitions in use also signs with each
-shingle alone, so two such sets meet there. Sets left with too few by common
-signatures are joined among themselves once more by their rarest shingles, as
-many as two similar sets must share one of, and there nothing is left out. So
-no pair is lost, whatever the skew.
-
-Cost. Signatures travel as packed arrays, one row for each of many parts, and
-meet in one task by part; within a batch, members of a common signature beyond
-a few are linked to the batch's first and not sent. A group of up to
-``SMALL`` members gives all its pairs; a larger one gives pairs with its
-smallest member only (a star). The pairs are verified on the sets, linked sets
-are merged into components, and only groups that still hold several components
-are looked at again: those of up to ``MEDIUM`` components by all pairs between these, while
-the larger ones count as common (above). Equal sets are merged before all
-this, so copies never meet. Pairs are ruled out by small sketches, with
-certainty, before whole sets are compared.
+instance (smaller set in band i) two partners differ in at most k shingles.
+The feature domain is dealt into first-level partitions, more than
+k / (K2 + 1) of them, so partners differ in at most K2 features in one at
+least. Each of these is dealt into N2 second-level partitions, and each subset
+of N2 - K2 of them gives a signature, a hash of what the set holds there:
+partners agree in one subset at least.
+
+Exactness. A subset may be empty, and a signature may be shared by very many
+documents (a common passage). Partners share signatures of as many first-level
+partitions as a set has in use beyond those that k differences can spoil, so a
+set need not be looked at under its most common ones (``needed``). A set with
+too few partitions in use also signs with each shingle alone, so two such sets
+meet there. No pair is lost, whatever the skew.
+
+Cost. Equal sets are merged first, so copies never meet. Signatures travel as
+packed arrays, one row for each of many parts, and meet in one task by part;
+within a batch, members of a common signature beyond a few are linked to the
+batch's first and not sent. A group of up to ``SMALL`` members gives all its
+pairs; a larger one gives pairs with its smallest member only (a star). The
+pairs are ruled out by small sketches, with certainty, or verified on the sets,
+and linked sets are merged into components. Groups that still span several
+components, less the members that need not be looked at there, are compared
+within the group, in blocks, by sketches; only pairs that aren't ruled out
+leave the block. A group in which that would be more than ``MOST_PAIRS``
+comparisons is dealt out again first: its members sign with fresh partitions,
+each signature together with the group's, which splits those that share no
+more than a passage, and the new groups go the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomvec.llm.components import connected_components
 from loomvec.llm.textarrays import LOWER, PolyHash, buffers, mix64, slices, steady_memory, words
@@ -47,14 +49,23 @@ from loomvec.session import materialize, small_batches
 WORDS = 5
 #: Jaccard of at least SHARED / ALL.
 SHARED, ALL = 80, 100
-SMALL, MEDIUM = 4, 8
+#: Members of a group that gives all pairs; pairs of a larger one that are compared in blocks at once.
+SMALL, MOST_PAIRS = 4, 1 << 21
+#: Times that groups beyond that are dealt out again; what is larger still is compared in blocks all the same.
+LEVELS = 2
 #: Signatures of a batch that are sorted and sent together.
 FLUSH = 1 << 19
-#: Ids that are broadcast at most; beyond that a shuffle join is used.
-BROADCAST_IDS = 1 << 21
+#: Ids, and bytes of arrays, that are broadcast at most; beyond that a shuffle join is used.
+BROADCAST_IDS, BROADCAST_BYTES = 1 << 21, 32 << 20
 SEED = 11
-#: Partitions for each of the k + 1 needed.
+#: First-level partitions for each that is needed.
 SPREAD = 1.25
+#: Second-level partitions, and how many of them a signature leaves out.
+N2, K2 = 3, 1
+KEPT = [list(x) for x in combinations(range(N2), N2 - K2)]
+#: A signature holds its parity and, above, its first-level partition in so many bits.
+TAG_BITS = 13
+TAGS = (1 << TAG_BITS) - 1
 
 
 @lru_cache
@@ -117,16 +128,23 @@ def _instances(sizes: np.ndarray, side: int) -> np.ndarray:
     return band
 
 
+def first_level(band: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many first-level partitions are needed, and how many there are, for each row's instance (0: none)."""
+    need = most_differences(band_tops()[np.maximum(band, 0)]) // (K2 + 1) + 1
+    return need, np.where(band >= 0, np.ceil(need * spread).astype(np.int64), 0)
+
+
 def signatures(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, seed: int, spread: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row) of the partitions that aren't empty, and how many each row has to spare.
+    """(signature, row) of the subsets that aren't empty, and how many first-level partitions each row has to spare.
 
-    The lowest bit of a signature is the instance's parity. To spare: used
-    partitions less k + 1; below 0 the row has too few.
+    The lowest bit of a signature is the instance's parity, those above it
+    name the first-level partition. To spare: partitions none of whose subsets
+    is empty, less those needed; below 0 the row has too few. Without
+    ``spread`` each shingle is a signature.
     """
     rows = len(at) - 1
     sizes = np.diff(at)
     live = band >= 0
-    k = most_differences(band_tops()[np.maximum(band, 0)])
     owner = np.repeat(np.arange(rows), sizes)
     keep = live[owner]
     owner, h = owner[keep], hashes[keep]
@@ -134,18 +152,23 @@ def signatures(hashes: np.ndarray, at: np.ndarray, band: np.ndarray, seed: int,
     drawn = mix64(h ^ salt[owner])
     parity = (band & 1).astype(np.uint64)
     if spread is None:
-        return (drawn & ~np.uint64(1)) | parity[owner], owner, np.where(live, sizes - k - 1, 0)
-    n = np.where(live, np.ceil((k + 1) * spread).astype(np.int64), 0)
+        return (drawn & ~np.uint64(1)) | parity[owner], owner, np.zeros(rows, np.int64)
+    need, n = first_level(band, spread)
     first = np.concatenate([[0], np.cumsum(n)])
-    cell = first[owner] + ((drawn >> np.uint64(32)) * n[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    cell = first[owner] * N2 + ((drawn >> np.uint64(32)) * (n[owner] * N2).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     body = mix64(drawn + np.uint64(0x51ED270B))
-    low = np.bincount(cell, weights=(body & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=first[-1])
-    high = np.bincount(cell, weights=(body >> np.uint64(32)).astype(np.float64), minlength=first[-1])
-    used = np.flatnonzero(low + high > 0)
-    row = np.searchsorted(first, used, side="right") - 1
-    inner = (used - first[row]).astype(np.uint64)
-    sig = mix64(low[used].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(high[used].astype(np.uint64) + inner * np.uint64(0xC2B2AE3D27D4EB4F) + salt[row]))
-    return (sig & ~np.uint64(1)) | parity[row], row, np.where(live, np.bincount(row, minlength=rows) - k - 1, 0)
+    low, high = (np.bincount(cell, weights=x.astype(np.float64), minlength=first[-1] * N2).reshape(-1, N2) for x in (body & np.uint64(0xFFFFFFFF), body >> np.uint64(32)))
+    row = np.repeat(np.arange(rows), n)
+    spare = np.where(live, np.bincount(row[((low + high) > 0).sum(axis=1) > K2], minlength=rows) - need, 0)
+    tag = (np.arange(len(row)) - first[row]).astype(np.uint64) & np.uint64(TAGS)
+    made, of = [], []
+    for kept in KEPT:
+        l, h = low[:, kept].sum(axis=1), high[:, kept].sum(axis=1)
+        used = np.flatnonzero(l + h > 0)
+        sig = mix64(l[used].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(h[used].astype(np.uint64) + salt[row[used]]))
+        made.append((sig & ~np.uint64(2 * TAGS + 1)) | tag[used] << np.uint64(1) | parity[row[used]])
+        of.append(row[used])
+    return np.concatenate(made), np.concatenate(of), spare
 
 
 def groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,8 +307,8 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
 
 #: Cells of a set's sketch.
 CELLS = 256
-#: Documents on either side of a cell that is compared at once.
-BLOCK = 2048
+#: Members of a group on either side of a cell that is compared at once.
+BLOCK = 512
 
 
 def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -387,99 +410,171 @@ def _connecting(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return links.unionByName(_compared(docs, rest, f"{name}-second")) if rest.limit(1).count() else links
 
 
-def _across(base: DataFrame, merged: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Plausible pairs of members between the given pairs of components (c, d).
+def _torn_members(found: DataFrame, merged: DataFrame, name: str) -> DataFrame:
+    """(sig, b, c) of the star groups whose members are in several components c."""
+    stars = found.where(F.col("kind") == STAR)
+    label = lambda df, key: df.join(merged.select(F.col("id").alias(key), F.col("component").alias(f"c_{key}")), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))
+    split = label(label(stars.select("a", "b").distinct(), "a"), "b").where("c_a <> c_b").select("a", "b")
+    torn = stars.join(split, ["a", "b"], "left_semi").select("sig").distinct()
+    return materialize(label(stars.join(torn, "sig", "left_semi").select("sig", "b").distinct(), "b").withColumnRenamed("c_b", "c"), f"members-{name}", small=True)
 
-    The larger component's members and those of its partners are dealt into
-    blocks, and each cell of two blocks is compared by sketches where it lies;
-    only plausible pairs leave it. So a component that holds a third of all
-    documents is spread, and no pair that is ruled out becomes a row.
-    """
-    wanted = pairs.select(F.col("c").alias("component")).unionByName(pairs.select(F.col("d").alias("component"))).distinct()
-    members = merged.join(wanted, "component", "left_semi").select("component", "id").unionByName(wanted.select("component", F.col("component").alias("id")))
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    of = lambda side: sizes.select(F.col("component").alias(side), F.col("n").alias(f"n_{side}"))
-    turn = F.col("n_c") >= F.col("n_d")
-    sides = pairs.join(of("c"), "c").join(of("d"), "d").select(F.when(turn, F.col("c")).otherwise(F.col("d")).alias("big"), F.when(turn, F.col("d")).otherwise(F.col("c")).alias("small"), F.greatest("n_c", "n_d").alias("n"), F.least("n_c", "n_d").alias("m"))
-    sides = materialize(sides, "sides", small=True)
-    grid = sides.groupBy("big").agg(F.ceil(F.max("n") / F.lit(block)).cast("int").alias("across"), F.ceil(F.sum("m") / F.lit(block)).cast("int").alias("down"))
-    known = base.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    large = members.join(grid, F.col("component") == F.col("big")).select("big", deal("across").alias("x"), every("down").alias("y"), F.lit(False).alias("probe"), "id")
-    small = sides.select("big", "small").join(grid, "big").join(members, F.col("small") == F.col("component")).select("big", deal("down").alias("y"), every("across").alias("x"), F.lit(True).alias("probe"), "id")
-    rows = large.unionByName(small).join(known, "id")
 
-    def run(batches):
-        cells: dict[tuple, tuple[list, list]] = {}
-        for records in batches:
-            sketch = buffers(records.column(6))[0].reshape(-1, CELLS) if records.num_rows else None
-            for r, (key, probe) in enumerate(zip(zip(*(records.column(i).to_pylist() for i in (0, 1, 2)), strict=True), records.column(3).to_pylist(), strict=True)):
-                cells.setdefault(key, ([], []))[probe].append((records.column(4)[r].as_py(), records.column(5)[r].as_py(), sketch[r]))
-        a, b = [], []
-        for members, probes in cells.values():
-            if not members or not probes:
-                continue
-            ids, sizes, drawn = np.array([m[0] for m in members]), np.array([m[1] for m in members]), np.stack([m[2] for m in members]).astype(np.int16)
-            for doc, n, sketch in probes:
-                both = sizes + n
-                close = np.flatnonzero((SHARED + ALL) * (both - np.abs(drawn - sketch).sum(axis=1)) >= 2 * SHARED * both)
-                a.append(np.minimum(ids[close], doc))
-                b.append(np.maximum(ids[close], doc))
-        none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+def _sizes(members: DataFrame) -> DataFrame:
+    """sig, its members g, the most of them in one component (top, the component most), of torn groups only."""
+    each = members.groupBy("sig", "c").agg(F.count("*").alias("m"))
+    return each.groupBy("sig").agg(F.sum("m").alias("g"), F.max(F.struct("m", "c")).alias("t"), F.count("*").alias("n")).where("n > 1").select("sig", "g", F.col("t.m").alias("top"), F.col("t.c").alias("most"))
 
-    return rows.select("big", "x", "y", "probe", "id", "n_shingles", "sketch").repartition("big", "x", "y").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
+def _by_text(docs: DataFrame, members: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over (doc_id, text, sigs, sizes) of the documents in ``members`` (b, sig, g)."""
+    own = materialize(members.groupBy(F.col("b").alias("id")).agg(F.collect_list(F.struct("sig", "g")).alias("own")), "own", small=True)
+    weight = own.agg(F.coalesce(F.sum(F.size("own") * 16 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    return docs.join(F.broadcast(own) if weight <= BROADCAST_BYTES else own, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("own.sig").alias("sigs"), F.col("own.g").alias("sizes")).mapInArrow(run, schema)
 
-def _too_few(docs: DataFrame, spread: float) -> DataFrame:
-    """id and shingles of those whose partitions, less the h0 or h1 common ones, are too few."""
+
+def needed(sig: np.ndarray, size: np.ndarray, spare: int, partitions: int) -> np.ndarray:
+    """Which of a set's common signatures (of one parity) must be looked at, by their groups' sizes.
+
+    Two similar sets share signatures of more than ``spare`` partitions. The
+    one that comes first by size and signature has so many partitions with a
+    signature behind it in both sets, so one with fewer isn't it.
+    """
+    order = np.lexsort((sig, size))
+    rank = np.empty(len(sig), np.int64)
+    rank[order] = np.arange(len(sig))
+    # Beyond the partitions that a signature can name, each one counts as of its own.
+    _, tag = np.unique(sig >> 1 & TAGS, return_inverse=True) if partitions <= TAGS + 1 else (None, rank)
+    last = np.full(len(sig), -1)
+    np.maximum.at(last, tag, rank)
+    behind = np.sort(last[last >= 0])
+    return len(behind) - np.searchsorted(behind, rank, side="right") - (last[tag] > rank) >= spare
+
+
+def _pruned(docs: DataFrame, members: DataFrame, spread: float) -> DataFrame:
+    """Of ``members`` (sig, b, c, g) those that must be looked at, as (b, sig)."""
 
     def run(batches):
         for records in batches:
+            ids, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for first, last, hashes, at in shingle_sets(records.column(1)):
-                out = np.zeros(last - first, bool)
                 for side in (0, 1):
                     band = _instances(np.diff(at), side)
-                    h = np.stack([records.column(c).fill_null(-1).to_numpy(zero_copy_only=False)[first:last] for c in (2, 3)])
-                    h = h[band & 1, np.arange(last - first)]
-                    _, _, spare = signatures(hashes, at, band, SEED, spread)
-                    out |= (band >= 0) & (h >= 0) & (spare - h < 0)
-                keep = pa.array(out)
-                yield pa.RecordBatch.from_arrays([records.column(0).slice(first, last - first).filter(keep), _lists(hashes, at).filter(keep)], names=["id", "shingles"])
+                    spare, partitions = signatures(hashes, at, band, SEED, spread)[2], first_level(band, spread)[1]
+                    for r in np.flatnonzero(band >= 0):
+                        sig, size = (records.column(c)[first + r].values.to_numpy() for c in (2, 3))
+                        own = (sig & 1) == (band[r] & 1)
+                        sig = sig[own][needed(sig[own], size[own], spare[r], partitions[r])]
+                        sigs.append(sig)
+                        ids.append(np.full(len(sig), records.column(0)[first + r].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sigs))], names=["b", "sig"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return _by_text(docs, members.select("b", "sig", "g"), run, "b long, sig long").distinct()
 
 
-def _resolved(docs: DataFrame, base: DataFrame, found: DataFrame, links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Links with those of ``found``, components, members (sig, b, c) of signatures that hold several components, and how many (n)."""
-    stars = found.where(F.col("kind") == STAR)
-    fresh = _connecting(docs, _plausible(base, found.where("a <> b").select("a", "b").distinct()), f"verify-{name}")
-    links = fresh if links is None else links.unionByName(fresh)
-    merged = connected_components(links)
-    label = lambda df, key: df.join(merged.select(F.col("id").alias(key), F.col("component").alias(f"c_{key}")), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))
-    split = label(label(stars.select("a", "b").distinct(), "a"), "b").where("c_a <> c_b").select("a", "b")
-    torn = stars.join(split, ["a", "b"], "left_semi").select("sig").distinct()
-    members = label(stars.join(torn, "sig", "left_semi").select("sig", "b").distinct(), "b").withColumnRenamed("c_b", "c")
-    members = materialize(members, f"members-{name}", small=True)
-    return links, merged, members, materialize(members.select("sig", "c").distinct().groupBy("sig").agg(F.count("*").alias("n")), f"sizes-{name}", small=True)
-
+def _rekeyed(docs: DataFrame, members: DataFrame, spread: float, seed: int) -> DataFrame:
+    """Stars of ``members`` (sig, b) by their signature and one of a fresh set of partitions."""
 
-def _by_rarest(sets: DataFrame) -> DataFrame:
-    """Stars (a: smallest, b: member, sig) of the ``sets`` (id, shingles) that share one of their rarest shingles.
+    def packed(ids, sigs):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *ids])), pa.array(np.concatenate([np.zeros(0, np.int64), *sigs]))], names=["b", "sig"])
 
-    By one order for all, rarest first, similar sets share one of the first
-    ``n - 0.8 n + 1`` shingles of each.
+    def run(batches):
+        ids: list[np.ndarray] = []
+        sigs: list[np.ndarray] = []
+        held = 0
+        for records in batches:
+            for first, last, hashes, at in shingle_sets(records.column(1)):
+                for side in (0, 1):
+                    band = _instances(np.diff(at), side)
+                    fresh, row, spare = signatures(hashes, at, band, seed, spread)
+                    alone, alone_row, _ = signatures(hashes, at, np.where(spare < 0, band, -1), seed + 1, None)
+                    for r in np.flatnonzero(band >= 0):
+                        old = records.column(2)[first + r].values.to_numpy()
+                        new = np.concatenate([fresh[row == r], alone[alone_row == r]])
+                        for sig in old[(old & 1) == (band[r] & 1)].view(np.uint64):
+                            made = np.unique(mix64(new ^ mix64(np.full(1, sig))) & ~np.uint64(1) | np.uint64(band[r] & 1))
+                            sigs.append(made.view(np.int64))
+                            ids.append(np.full(len(made), records.column(0)[first + r].as_py(), np.int64))
+                            held += len(made)
+                            if held >= FLUSH:
+                                yield packed(ids, sigs)
+                                ids, sigs, held = [], [], 0
+        yield packed(ids, sigs)
+
+    made = materialize(_by_text(docs, members.select("b", "sig", F.lit(0).cast("long").alias("g")), run, "b long, sig long"), "rekeyed")
+    least = made.groupBy("sig").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("sig", "a")
+    return materialize(made.join(least, "sig").select(F.lit(STAR).alias("kind"), "a", "b", "sig"), "found-rekeyed")
+
+
+def _runs(batches, keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of sorted batches, cut where one of the first ``keys`` columns changes, some groups at a time."""
+    held = None
+    for records in batches:
+        table = pa.Table.from_batches([records] if held is None else [*held.to_batches(), records]).combine_chunks()
+        if not table.num_rows:
+            continue
+        values = [table.column(i).to_numpy() for i in range(keys)]
+        same = np.logical_and.reduce([v == v[-1] for v in values])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _within(base: DataFrame, members: DataFrame, every: bool, block: int = BLOCK) -> DataFrame:
+    """Plausible pairs (a, b) of different components in one group of ``members`` (sig, b, c).
+
+    Members outside a group's largest component meet all others. Both are
+    dealt into blocks, and each cell of two blocks is compared by sketches
+    where it lies, so no task holds more than two blocks of a group and no
+    pair that is ruled out becomes a row. Without ``every`` only a member's
+    closest of each component in the cell is named.
     """
-    each = materialize(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig")), "rest-shingles")
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig")
-    order = Window.partitionBy("id").orderBy("df", "sig")
-    kept = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SHARED / ALL) + 1).where("df > 1").select("id", "sig")
-    least = kept.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("sig", "a")
-    return kept.join(least, "sig").select("a", F.col("id").alias("b"), "sig")
-
+    sizes = _sizes(members).withColumn("across", F.ceil(F.col("g") / F.lit(block)).cast("int")).withColumn("down", F.ceil((F.col("g") - F.col("top")) / F.lit(block)).cast("int"))
+    placed = members.join(sizes, "sig")
+    deal = lambda n: F.pmod(F.xxhash64("b", F.lit(3)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = placed.select("sig", deal("across").alias("x"), spread("down").alias("y"), F.lit(False).alias("probe"), "b", "c")
+    small = placed.where("c <> most").select("sig", deal("down").alias("y"), spread("across").alias("x"), F.lit(True).alias("probe"), "b", "c")
+    known = base.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("b"), "n_shingles", "sketch")
+    rows = large.unionByName(small).join(known, "b").select("sig", "x", "y", "probe", "b", "c", "n_shingles", "sketch")
 
-def jaccard_components(docs: DataFrame, *, spread: float = SPREAD, medium: int = MEDIUM) -> DataFrame:
+    def run(batches):
+        for table in _runs(batches, 3):
+            sig, x, y, probe, ids, comp, n = (table.column(i).to_numpy() for i in range(7))
+            drawn = buffers(table.column(7))[0].reshape(-1, CELLS)
+            edge = np.flatnonzero((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(np.append(0, edge), np.append(edge, len(sig)), strict=True):
+                own = np.arange(lo, hi)
+                for i, j in close_pairs(own[~probe[lo:hi]], own[probe[lo:hi]], drawn, n, comp, every):
+                    a.append(np.minimum(ids[i], ids[j]))
+                    b.append(np.maximum(ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def close_pairs(members: np.ndarray, probes: np.ndarray, drawn: np.ndarray, n: np.ndarray, comp: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, probes) of different components that the sketches don't rule out."""
+    wide = drawn[members].astype(np.int16)
+    for j in probes if len(members) else ():
+        both = n[members] + n[j]
+        other = np.flatnonzero((comp[members] != comp[j]) & (ALL * np.minimum(n[members], n[j]) >= SHARED * np.maximum(n[members], n[j])))
+        if not len(other):
+            continue
+        far = np.abs(wide[other] - drawn[j]).sum(axis=1)
+        near = (SHARED + ALL) * (both[other] - far) >= 2 * SHARED * both[other]
+        other, far = other[near], far[near]
+        if len(other) and not every:
+            order = np.lexsort((far, comp[members[other]]))
+            other = other[order][np.concatenate([[True], np.diff(comp[members[other[order]]]) != 0])]
+        if len(other):
+            yield members[other], np.full(len(other), j)
+
+
+def jaccard_components(docs: DataFrame, *, spread: float = SPREAD, most: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest reachable doc_id) of every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of one to
@@ -491,10 +586,10 @@ def jaccard_components(docs: DataFrame, *, spread: float = SPREAD, medium: int =
     null component; an empty table gives no rows; other columns are ignored.
     """
     with small_batches(docs.sparkSession):
-        return _components(docs, spread, medium)
+        return _components(docs, spread, most)
 
 
-def _components(docs: DataFrame, spread: float, medium: int) -> DataFrame:
+def _components(docs: DataFrame, spread: float, most: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(set_digests(docs), "sets")
@@ -509,34 +604,55 @@ def _components(docs: DataFrame, spread: float, medium: int) -> DataFrame:
         work = work.unionByName(_only(known, twice, "left_semi")).distinct()
     parts = 1 << max(3, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     found = materialize(_meet(_send(work, parts, spread), parts), "found")
-    links = None
-    for last in (False, True):
-        name = "rarest" if last else "common"
-        links, merged, members, sizes = _resolved(known, base, found, links, name)
-        every = last or not sizes.where(F.col("n") > medium).limit(1).count()
-        near = members.select("sig", "c").distinct().join(sizes if every else sizes.where(F.col("n") <= medium), "sig").select("sig", "c")
-        pairs = materialize(near.join(near.withColumnRenamed("c", "d"), "sig").where("c < d").select("c", "d").distinct(), f"across-{name}", small=True)
-        if pairs.limit(1).count():
-            more = _connecting(known, _across(base, merged, pairs), f"again-{name}")
+    merged, links = None, None
+    for level in range(LEVELS + 1):
+        fresh = _connecting(known, _plausible(base, found.where("a <> b").select("a", "b").distinct()), f"verify-{level}")
+        links = fresh if links is None else links.unionByName(fresh)
+        merged = connected_components(links)
+        members = _torn_members(found, merged, str(level))
+        if not members.limit(1).count():
+            break
+        sized = members.join(_sizes(members).select("sig", "g"), "sig")
+        if level == 0:
+            kept = _pruned(known, sized, spread)
+            members = materialize(kept.join(members, ["b", "sig"]).select("sig", "b", "c"), "kept", small=True)
+        sizes = materialize(_sizes(members), f"sizes-{level}", small=True)
+        # Pairs of a group: all of its members with those outside its largest component.
+        few = F.col("g") * (F.col("g") - F.col("top")) <= most if level < LEVELS else F.lit(True)
+        near = members.join(sizes.where(few).select("sig"), "sig", "left_semi")
+        for every in (False, True):
+            pairs = materialize(_within(base, near, every), f"within-{level}", small=True)
+            if not pairs.limit(1).count():
+                break
+            more = _connecting(known, pairs, f"again-{level}-{every}")
             if more.limit(1).count():
                 links, merged = links.unionByName(more), None
-        if every:
+            if not every:
+                merged = connected_components(links) if merged is None else merged
+                near = materialize(_relabelled(near, merged), f"near-{level}", small=True)
+        large = members.join(sizes.where(~few).select("sig"), "sig", "left_semi")
+        merged = connected_components(links) if merged is None else merged
+        large = materialize(_relabelled(large, merged), f"large-{level}", small=True)
+        large = large.join(_sizes(large).select("sig"), "sig", "left_semi")
+        if not large.limit(1).count():
             break
-        common = members.join(sizes.where(F.col("n") > medium), "sig").groupBy("b", F.col("sig").bitwiseAND(1).alias("parity")).agg(F.count("*").alias("h"))
-        rest = common.groupBy(F.col("b").alias("id")).agg(F.max(F.when(F.col("parity") == 0, F.col("h"))).alias("h0"), F.max(F.when(F.col("parity") == 1, F.col("h"))).alias("h1"))
-        spare = _too_few(_only(known, materialize(rest, "rest", small=True), "inner").select("doc_id", "text", "h0", "h1"), spread)
-        found = materialize(_by_rarest(spare).withColumn("kind", F.lit(STAR)), "found-rarest")
+        found = _rekeyed(known, large, spread, SEED + 1000 * (level + 1))
     same = equal.select(F.col("doc_id").alias("id"), F.col("rep").alias("component"))
     if several:  # an id may be a copy in one row and something else in another
         merged = connected_components(links.unionByName(same.select(F.col("id").alias("u"), F.col("component").alias("v"))))
     else:
-        merged = connected_components(links) if merged is None else merged
         of_rep = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
         merged = merged.unionByName(same.join(of_rep, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
     joined = base.select("doc_id", "n_shingles").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _relabelled(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """``members`` (sig, b, c) with their present components."""
+    to = merged.select(F.col("id").alias("c"), F.col("component").alias("now"))
+    return members.join(to, "c", "left").select("sig", "b", F.coalesce("now", "c").alias("c"))
+
+
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` without those that have a smaller id in their component, and one row for each id."""
     gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone", small=True)
