@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,34 +36,55 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and kept in the session's settings.
+    Only where the session names none and runs on one machine (tests, the
+    bench) a temporary folder is made, kept in the session's settings and
+    removed at the end; a cluster without the setting is refused.
     """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomvec-')}"
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        folder = tempfile.mkdtemp(prefix="loomvec-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
-    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
 
 
+#: What ``materialize`` has written in this process.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back.
 
     Cuts the lineage and gives the planner the true size; the files survive
     the loss of any executor. ``small``: the rows are few beside the input, so
-    there is one file for each core of the cluster at most.
+    they are gathered in files by the cluster's cores and its setting of
+    shuffle partitions, whichever asks for more.
     """
     spark = df.sparkSession
     if small:
-        df = df.repartition(max(4, spark.sparkContext.defaultParallelism))
+        df = df.repartition(max(4, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = f"{shared_dir(spark)}/loomvec-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialize`` has written; results that read them must be stored before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is executed inside.
