@@ -1,13 +1,15 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Each place where a common word (an anchor) stands before a content word gives
-a spot signature: the anchor, that content word and the next one, anchors in
-between left out. A text's fingerprint is the set of its spot signatures. Lists
-and short texts have few common words, so one content word in eight, chosen by
-its hash, is a spot by itself, and in texts of fewer than ``SHORT`` words, or
-without any spot, every one is. Texts without words have the whole text as their only signature.
-Sets are compared by Jaccard; the join partitions them by length, so that only
-neighbouring length classes meet, and prunes by prefixes before it compares.
+a spot signature: the last anchor of the run, that content word and the next
+one, anchors in between left out. A text's fingerprint is the set of its spot
+signatures, written out, so that a likeness can be taken from two fingerprints
+alone. Only anchored chains count; the one fallback is for texts with fewer
+than ``LEAST_SPOTS`` of them (lists, short texts), where the chain at each
+content word counts besides. Texts without words have the whole text as their
+only signature. Sets are compared by Jaccard; the join partitions them by
+length, so that only neighbouring length classes meet, and prunes by prefixes
+before it compares.
 
 Everything is DataFrame expressions: a text becomes an array of hashes inside
 its row, and nothing is exploded on the main path.
@@ -16,7 +18,7 @@ Defined cases: a null text counts as empty; equal texts have equal
 fingerprints; two empty texts are alike by 1; a null ``doc_id`` has no next
 document, so its edited text just loses the last quarter, and it is nobody's
 next; rows of one ``doc_id`` follow each other by text; a table of one row has
-itself as its next; an empty table gives no rows.
+itself as its next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +39,10 @@ ANCHORS = (
     "de la le et les en du une que est pour qui dans par sur au pas avec plus il "
     "el y los se del las un por con no su para al lo como más"
 ).split()
-#: One content word in so many is a spot without an anchor before it.
-SPARSE = 8
-#: In texts of fewer words every content word is a spot.
-SHORT = 24
+#: Texts with fewer anchored spots have a chain at every content word besides.
+LEAST_SPOTS = 8
 #: Rows of a window, and the most edges that are held on the driver.
-BUCKET_ROWS, EDGES = 500, 4096
+BUCKET_ROWS, EDGES = 128, 4096
 
 
 def words_pattern(words: list[str]) -> str:
@@ -64,7 +64,7 @@ def words_pattern(words: list[str]) -> str:
     return form(tree)
 
 
-def spot_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANCHORS, short: int = SHORT) -> DataFrame:
+def spot_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANCHORS, least: int = LEAST_SPOTS) -> DataFrame:
     """``df`` with the sorted distinct hashes of its text's spot signatures; never null, never empty.
 
     The steps are columns of their own, so that none is computed twice.
@@ -77,10 +77,10 @@ def spot_signatures(df: DataFrame, text: str, out: str, anchors: list[str] = ANC
     made = made.withColumn(step["glued"], F.regexp_replace(of("flat"), rf"(?<![^ ])(?:{anchor} )++(?<=(?<![^ ])({anchor}) )", "$1:"))
     made = made.withColumn(step["words"], F.split(of("glued"), " ")).withColumn(step["bare"], F.split(F.regexp_replace(of("glued"), r"[^ :]+:", ""), " "))
     made = made.withColumn(step["after"], F.slice(of("bare"), 2, F.greatest(F.size(of("bare")), F.lit(1))))
-    made = made.withColumn(step["found"], F.array_compact(F.zip_with(of("words"), of("after"), lambda w, c: F.when(F.contains(w, F.lit(":")) | (F.pmod(F.xxhash64(w), F.lit(SPARSE)) == 0), F.xxhash64(w, c)))))
-    every = F.concat(of("found"), F.zip_with(of("bare"), of("after"), lambda w, c: F.when(w.isNotNull(), F.xxhash64(w, c))))
-    signatures = F.when(of("flat") == "", F.array(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))).when((F.size(of("bare")) >= short) & (F.size(of("found")) > 0), of("found")).otherwise(every)
-    return made.withColumn(out, F.sort_array(F.array_distinct(signatures))).drop(*step.values())
+    made = made.withColumn(step["found"], F.array_distinct(F.array_compact(F.zip_with(of("words"), of("after"), lambda w, c: F.when(F.contains(w, F.lit(":")), F.hash(w, c))))))
+    every = F.array_distinct(F.concat(of("found"), F.zip_with(of("bare"), of("after"), lambda w, c: F.hash(w, c))))
+    signatures = F.when(of("flat") == "", F.array(F.hash(F.coalesce(F.col(text), F.lit(""))))).when(F.size(of("found")) >= least, of("found")).otherwise(every)
+    return made.withColumn(out, F.sort_array(signatures)).drop(*step.values())
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,8 +90,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(signatures: Column) -> Column:
-    """A set as text: its size and a digest of its sorted members."""
-    return F.concat(F.size(signatures).cast("string"), F.lit(":"), F.md5(F.array_join(F.transform(signatures, lambda x: F.hex(x)), "").cast("binary")))
+    """A set as text: its members in order, as hexadecimal numbers between dots."""
+    return F.array_join(F.transform(signatures, lambda x: F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), ".")
 
 
 def _edges(ids: DataFrame, rows: int) -> list[int]:
@@ -103,6 +103,11 @@ def _edges(ids: DataFrame, rows: int) -> list[int]:
     return sorted(set(cut))
 
 
+def _splits(edges: list[int], rows: int) -> int:
+    """Windows between two edges."""
+    return max(1, rows // (len(edges) * 4 * BUCKET_ROWS)) if edges else 1
+
+
 def _bucket(doc_id: Column, edges: list[int], rows: int) -> Column:
     """Part of the id's range, split evenly further where parts would be long. Rises with the id."""
     if not edges:
@@ -111,7 +116,7 @@ def _bucket(doc_id: Column, edges: list[int], rows: int) -> Column:
     padded = F.array(*[F.lit(e).cast("long") for e in edges])
     steps = F.array(*[F.lit(width >> k) for k in range(1, width.bit_length())])
     at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= len(edges)) & (F.get(padded, lo + step - 1) <= doc_id), lo + step).otherwise(lo))
-    split = max(1, rows // (len(edges) * 4 * BUCKET_ROWS))
+    split = _splits(edges, rows)
     if split == 1:
         return at.cast("long")
     low, high = F.get(padded, at - 1).cast("double"), F.get(padded, at).cast("double")
@@ -130,10 +135,15 @@ def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame]
     rows = ids.count()
     edges = _edges(ids, rows)
     bucket = _bucket(F.col("doc_id"), edges, rows)
-    firsts = ids.groupBy(bucket.alias("_bucket")).agg(F.min("doc_id").alias("doc_id"))
-    order = Window.orderBy("_bucket")
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = materialize(firsts.select(F.col("doc_id").alias("_first"), F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(every)).alias("_before")), "firsts")
+    firsts = ids.groupBy(bucket.alias("_bucket")).agg(F.min("doc_id").alias("_first"))
+    # The window before each: within the range between two edges, else the last one of the range before.
+    ranges = firsts.withColumn("_range", F.floor(F.col("_bucket") / F.lit(_splits(edges, rows))))
+    lasts = ranges.groupBy("_range").agg(F.max("_bucket").alias("_last"))  # a row for each edge at most
+    order = Window.orderBy("_range")
+    lasts = lasts.select("_range", F.coalesce(F.lag("_last").over(order), F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_ended"))
+    within = Window.partitionBy("_range").orderBy("_bucket")
+    firsts = ranges.withColumn("_lag", F.lag("_bucket").over(within)).join(F.broadcast(lasts), "_range")
+    firsts = materialize(firsts.select("_first", F.coalesce("_lag", "_ended").alias("_before")), "firsts", small=True)
     few = rows <= BUCKET_ROWS * (1 << 16)  # then there are at most so many windows
     again = docs.join(F.broadcast(firsts) if few else firsts, F.col("doc_id") == F.col("_first")).select(*docs.columns, F.col("_before").alias("_bucket"), F.lit(1).alias("_extra"))
     away = -1 - F.pmod(F.xxhash64("text"), F.lit(1024))  # rows without an id stand apart
@@ -169,7 +179,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     used. Exact. ``class`` is the smallest doc_id of equal fingerprints.
     """
     made = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = spot_signatures(made, "text", "sigs").drop("text").withColumn("digest", fingerprint(F.col("sigs")))
+    made = spot_signatures(made, "text", "sigs").drop("text").withColumn("digest", F.md5(fingerprint(F.col("sigs")).cast("binary")))
     classes = made.groupBy("digest").agg(F.min("doc_id").alias("class"))
     members = made.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class")
     reps = materialize(made.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("sigs").alias("sigs")).select("id", "sigs"), "spot-classes")

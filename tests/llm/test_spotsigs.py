@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import regex
 
 from loomvec.llm import spotsigs
 
@@ -21,10 +22,41 @@ def signatures(spark, texts):
     return [r.s for r in spotsigs.spot_signatures(df, "text", "s").orderBy("i").collect()]
 
 
+def plain(text):
+    """The set of (anchor, content word, next content word), one word at a time."""
+    words = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS or i == len(words) - 1]
+    chains = []
+    for (i, w), (_, after) in zip(content, [*content[1:], (0, None)], strict=True):
+        chains.append((words[i - 1] if i and words[i - 1] in spotsigs.ANCHORS else None, w, after))
+    found = {c for c in chains if c[0]}
+    if not words:
+        return {text or ""}
+    return found if len(found) >= spotsigs.LEAST_SPOTS else found | {(None, w, after) for _, w, after in chains}
+
+
+def test_whole_table_as_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in spotsigs.compare_edited(docs).collect()}
+    ring = sorted(texts)
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    for d, e in zip(ring, ring[1:] + ring[:1], strict=True):
+        t, n = texts[d] or "", texts[e] or ""
+        k = len(t) // 4
+        own, edited, after = plain(t), plain(t[: len(t) - k] + n[:k]), plain(n)
+        sets = [set(x.split(".")) for x in (got[d].fingerprint, got[d].edited_fingerprint, got[e].fingerprint)]
+        assert [len(x) for x in sets] == [len(own), len(edited), len(after)], d
+        assert got[d].near_edited == pytest.approx(likeness(own, edited)) == pytest.approx(likeness(*sets[:2]))
+        assert got[d].near_next == pytest.approx(likeness(own, after)) == pytest.approx(likeness(sets[0], sets[2]))
+
+
 def test_signatures_are_of_content_words(spark):
-    filler = " ".join(f"w{i}" for i in range(30))
+    filler = " ".join(f"the w{i}" for i in range(30))
     a, b, c, d = signatures(spark, [f"{filler} the cat and the dog", f"{filler} THE  cat, and, the... dog!", f"{filler} the of the cat dog", f"{filler} the cat fish dog"])
     assert a == b and set(a) & set(c) and a != d
+    bare = signatures(spark, [f"{filler} " + "qa qb qc " * 9, f"{filler} qa qb qc"])
+    assert len(bare[0]) == len(bare[1]) == 30  # no chain without an anchor
     assert signatures(spark, [None, "", "...", "hello"]) == signatures(spark, ["", None, "...", "Hello"])
 
 
