@@ -18,10 +18,12 @@ whose one side is unique, which the planner splits for a very common line.
 Distinct lines of one key differ in a single code point there, so the groups
 that meet stay small whatever the input.
 
-Defined cases: lines under ``min_chars`` code points (blank ones too) always
-stay, lines under ``min_near`` only go for an equal one; null texts stay null;
-rows that agree in ``doc_id`` and text are one document; a null ``doc_id`` is
-the earliest; an empty table gives no rows; further columns are kept.
+Defined cases: lines of nothing but space stay, however often they occur, and
+all others take part, whatever their length (``min_chars`` and ``min_near``
+raise that, for equal lines and for near ones); null texts stay null; rows
+that agree in ``doc_id`` and text are one document; a null ``doc_id`` is the
+earliest; an empty table gives no rows; further columns are kept, whatever
+their names, but for ``lines_dropped``.
 """
 
 from __future__ import annotations
@@ -37,10 +39,9 @@ from pyspark.sql.window import Window
 from loomvec.llm.textarrays import PolyHash, mix64, slices
 from loomvec.session import materialize, small_batches
 
-MIN_CHARS = 10
-MIN_NEAR = 20
-#: Rows that are broadcast at most; beyond that a shuffle join is used.
-BROADCAST_ROWS = 1 << 20
+MIN_CHARS, MIN_NEAR = 0, 0
+#: Bytes that are broadcast at most; beyond that a shuffle join is used.
+BROADCAST_BYTES = 48 << 20
 _PLACE = "doc_id long, mark long"
 LINES = f"{_PLACE}, line int, chars int, lo long, hi long, keys array<long>"
 VARIANTS = f"{_PLACE}, line int, at int, lo long, hi long"
@@ -84,7 +85,8 @@ def line_table(docs: DataFrame, min_chars: int, min_near: int) -> DataFrame:
                 points, at = _code_points(data, at)
                 start, end, row, number = _lines(points, at)
                 chars = end - start
-                keep = chars >= min_chars
+                solid = np.concatenate([[0], np.cumsum((points > 32) | ((points < 32) & ((points < 9) | (points > 13))))])
+                keep = (chars >= min_chars) & (solid[end] > solid[start])
                 start, end, row, number, chars = (x[keep] for x in (start, end, row, number, chars))
                 sums = one.sums(points)
                 lo, hi = one.spans(sums, start, end), two.spans(two.sums(points), start, end)
@@ -134,8 +136,11 @@ def _variants(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, VARIANTS)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, array: str | None = None) -> DataFrame:
+    """``df``, to be broadcast only while its rows and the numbers in its ``array`` are known to be few."""
+    numbers = F.size(array) if array else F.lit(0)
+    weight = df.agg(F.coalesce(F.sum(64 + 8 * numbers), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if weight <= BROADCAST_BYTES else df
 
 
 def _same(a: str, b: str) -> Column:
@@ -165,7 +170,7 @@ def _repeated_lines(docs: DataFrame, min_chars: int, min_near: int) -> DataFrame
     shared = materialize(halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").select("key"), "halves", small=True)
     wanted = halves.join(_few(shared), "key", "left_semi").select("first.*").distinct()
     wanted = materialize(wanted.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("line")).alias("wanted")), "wanted", small=True)
-    asked = docs.alias("d").join(_few(wanted).alias("w"), _same("d", "w")).select("d.doc_id", "d.mark", "d.text", "w.wanted")
+    asked = docs.alias("d").join(_few(wanted, "wanted").alias("w"), _same("d", "w")).select("d.doc_id", "d.mark", "d.text", "w.wanted")
     asked = asked.dropDuplicates(["doc_id", "mark"]) if _repeats(docs) else asked
     variants = _variants(asked).withColumn("place", place)
     rest = Window.partitionBy("lo", "hi")
@@ -184,7 +189,7 @@ def _verified(docs: DataFrame, near: DataFrame) -> DataFrame:
     """The candidates whose edit distance is at most one."""
     places = near.select("doc_id", "mark", "line").unionByName(near.select("first.*")).distinct()
     places = materialize(places.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("numbers")), "places", small=True)
-    texts = docs.alias("d").join(_few(places).alias("p"), _same("d", "p")).select("d.doc_id", "d.mark", F.explode("p.numbers").alias("line"), F.split("d.text", "\n", -1).alias("all"))
+    texts = docs.alias("d").join(_few(places, "numbers").alias("p"), _same("d", "p")).select("d.doc_id", "d.mark", F.explode("p.numbers").alias("line"), F.split("d.text", "\n", -1).alias("all"))
     texts = texts.select("doc_id", "mark", "line", F.get("all", F.col("line")).alias("value")).distinct()
     own = near.alias("n").join(texts.alias("t"), _same("n", "t") & (F.col("n.line") == F.col("t.line"))).select("n.doc_id", "n.mark", "n.line", "n.first", F.col("t.value").alias("mine"))
     both = own.join(texts.alias("t"), F.col("first.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("first.mark") == F.col("t.mark")) & (F.col("first.line") == F.col("t.line")))
@@ -196,9 +201,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_near: int =
     """``docs`` with the repeated lines left out of ``text``, and ``lines_dropped``."""
     drops = repeated_lines(docs, min_chars=min_chars, min_near=min_near)
     drops = materialize(drops.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone")), "drops")
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_m"), F.col("gone").alias("_gone"))
-    found = marked.join(_few(drops), marked["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_m")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "lines_dropped"], F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_dropped"))
+    kept_columns = [c for c in docs.columns if c != "lines_dropped"]
+    # The input's columns travel in one struct, so that none can clash.
+    marked = docs.select(F.struct(*kept_columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    found = marked.alias("d").join(_few(drops, "gone").alias("g"), _same("d", "g"), "left").select("row", "gone")
+    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return found.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in kept_columns], F.coalesce(F.size("gone"), F.lit(0)).alias("lines_dropped"))

@@ -22,9 +22,9 @@ def brute(rows):
             continue
         kept, gone = [], 0
         for line in text.split("\n"):
-            n = len(line)
-            hit = n >= 10 and any(line == x or (n >= 20 and len(x) >= 20 and within_one(line, x)) for x in seen)
-            if n >= 10:
+            solid = bool(line.strip(" \t\x0b\x0c\r"))
+            hit = solid and any(within_one(line, x) for x in seen)
+            if solid:
                 seen.append(line)
             if hit:
                 gone += 1
@@ -36,7 +36,7 @@ def brute(rows):
 
 def test_as_brute_force(spark):
     rng = random.Random(5)
-    lines = ["".join(rng.choice("abcdé ñ😀") for _ in range(rng.randrange(8, 60))) for _ in range(60)]
+    lines = ["".join(rng.choice("abcdé ñ😀") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
     rows = []
     for d in range(120):
         text = []
@@ -57,9 +57,24 @@ def test_as_brute_force(spark):
 
 def test_defined_cases(spark):
     long = "z" * 30_000
-    rows = [(1, None), (2, ""), (3, "same line of text\n\nshort\nshort"), (3, "same line of text\n\nshort\nshort"), (4, "same line of text"), (5, long), (6, long + "y"), (None, "a line without id"), (7, "a line without id")]
+    rows = [(1, None), (2, ""), (3, "same line of text\n\n \t\n \t\nshort"), (3, "same line of text\n\n \t\n \t\nshort"), (4, "same line of text"), (5, long), (6, long + "y"), (None, "a line without id"), (7, "a line without id")]
     got = linededup.dedup_lines(spark.createDataFrame([(d, t, 0, "x") for d, t in rows], SCHEMA + ", mark string"))
     assert got.columns == ["doc_id", "text", "n_chars", "mark", "lines_dropped"]
     found = sorted(((r.doc_id or 0), r.text or "", r.lines_dropped) for r in got.collect())
-    assert found == [(0, "a line without id", 0), (1, "", 0), (2, "", 0), (3, "same line of text\n\nshort\nshort", 0), (3, "same line of text\n\nshort\nshort", 0), (4, "", 1), (5, long, 0), (6, "", 1), (7, "", 1)]
+    assert found == [(0, "a line without id", 0), (1, "", 0), (2, "", 0), (3, "same line of text\n\n \t\n \t\nshort", 0), (3, "same line of text\n\n \t\n \t\nshort", 0), (4, "", 1), (5, long, 0), (6, "", 1), (7, "", 1)]
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_names(spark):
+    names = ["_gone", "_doc", "_m", "_mark", "gone", "row", "mark", "wanted", "first", "lines_dropped"]
+    docs = spark.createDataFrame([(1, "one line here", *"abcdefghij"), (2, "one line here\nanother", *"abcdefghij")], "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    got = linededup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names] and dict(got.dtypes)["doc_id"] == "int"
+    assert sorted((r.doc_id, r.text, r.gone, r.mark, r.lines_dropped) for r in got.collect()) == [(1, "one line here", "e", "g", 0), (2, "another", "e", "g", 1)]
+
+
+def test_floors_are_parameters(spark):
+    docs = spark.createDataFrame([(1, "abc\nabcd"), (2, "abc\nabcx")], "doc_id long, text string")
+    assert [r.lines_dropped for r in linededup.dedup_lines(docs, min_chars=5).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.lines_dropped for r in linededup.dedup_lines(docs, min_near=5).orderBy("doc_id").collect()] == [0, 1]
+    assert [r.lines_dropped for r in linededup.dedup_lines(docs).orderBy("doc_id").collect()] == [1, 2]
