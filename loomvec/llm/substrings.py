@@ -8,11 +8,12 @@ long stretches without a border are cut at fixed steps from the last one.
 Chunks are deduplicated by a 128-bit digest: the first one, by document and
 position, is the original, every later one a repetition.
 
-Digests are counted with a map-side combine, and only those that repeat are
-joined back, a join whose one side is unique by key, which the planner splits
-where one chunk is very common. Neighbouring repeated chunks of a document are
-merged into spans, and spans of at least ``min_bytes`` are returned with the
-first document that holds their content.
+Chunks are cut once and kept in a table. Digests are counted with a map-side
+combine, and only those that repeat are joined back, a join whose one side is
+unique by key, which the planner splits where one chunk is very common.
+Neighbouring repeated chunks of a document are merged into spans. Spans of at
+least ``min_bytes`` are returned with the first document that holds their
+content, and so are spans that fill a whole document, however short.
 
 Defined cases: null and empty texts have no chunks; a document that repeats
 its own passage reports it too; a row without ``doc_id`` is left out; rows of
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomvec.llm.textarrays import PolyHash, slices
+from loomvec.session import materialize
 
 WINDOW = 32
 MASK_BITS = 5
@@ -79,7 +81,7 @@ def chunk_borders(data: np.ndarray, at: np.ndarray, mask_bits: int = MASK_BITS,
 
 
 def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """doc_id, start, length (bytes) and digest (lo, hi) of every chunk."""
+    """doc_id, start, length (bytes), whether it is its document's last, and digest (lo, hi) of every chunk."""
 
     def run(batches):
         one, two = _hashers()
@@ -93,9 +95,9 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, min_chunk: int = MIN_CHU
                 row = np.searchsorted(at, starts, side="right") - 1
                 lo = one.spans(one.sums(data), starts, ends).view(np.int64)
                 hi = two.spans(two.sums(data), starts, ends).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first:last][row]), pa.array((starts - at[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(lo), pa.array(hi)], names=["doc_id", "start", "length", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first:last][row]), pa.array((starts - at[row]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ends == at[row + 1]), pa.array(lo), pa.array(hi)], names=["doc_id", "start", "length", "last", "lo", "hi"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, start int, length int, lo long, hi long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, start int, length int, last boolean, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -104,14 +106,14 @@ def repeated_spans(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
     ``first_doc_id`` and ``first_start`` say where the passage's first chunk
     stands for the first time.
     """
-    made = chunks(docs)
+    made = materialize(chunks(docs), "chunks")
     # The place of a chunk as one sortable struct; repeated rows of one document fall together.
     known = made.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "start")).alias("origin"), F.max(F.struct("doc_id", "start")).alias("final"))
     known = known.where("origin <> final").select(F.col("lo").alias("l"), F.col("hi").alias("h"), "origin")
     again = made.join(known, (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")))
-    again = again.where(F.struct("doc_id", "start") != F.col("origin")).select("doc_id", "start", "length", "origin").distinct()
+    again = again.where(F.struct("doc_id", "start") != F.col("origin")).select("doc_id", "start", "length", "last", "origin").distinct()
     order = Window.partitionBy("doc_id").orderBy("start")
     apart = F.coalesce((F.lag("start").over(order) + F.lag("length").over(order) != F.col("start")).cast("int"), F.lit(1))
     spans = again.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order))
-    spans = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.min_by("origin", "start").alias("origin"))
-    return spans.where(F.col("length") >= min_bytes).select("doc_id", F.col("start").cast("long").alias("start"), "length", "n_chunks", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.start").cast("long").alias("first_start"))
+    spans = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.min_by("origin", "start").alias("origin"), F.max("last").alias("last"))
+    return spans.where((F.col("length") >= min_bytes) | ((F.col("start") == 0) & F.col("last"))).select("doc_id", F.col("start").cast("long").alias("start"), "length", "n_chunks", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.start").cast("long").alias("first_start"))

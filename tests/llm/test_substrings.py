@@ -51,9 +51,42 @@ def test_passages_and_shifts(spark):
         assert texts[r.first_doc_id].encode()[r.first_start :].startswith(chunk)
 
 
+def brute_spans(rows, min_bytes):
+    """All spans from the borders, chunk by chunk in order of document and place."""
+    first, out = {}, []
+    for doc, text in sorted(rows):
+        data = (text or "").encode()
+        start, run = 0, None
+        for end in scalar_borders(data):
+            chunk = data[start:end]
+            origin = first.setdefault(chunk, (doc, start))
+            if origin == (doc, start):
+                run = None
+            elif run is not None:
+                run[2], run[3] = run[2] + end - start, run[3] + 1
+            else:
+                run = [doc, start, end - start, 1, *origin]
+                out.append((run, len(data)))
+            start = end
+    return sorted(tuple(r) for r, n in out if r[2] >= min_bytes or r[2] == n)
+
+
+def test_spans_as_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [text(n) for n in (4, 8, 20, 55, 90)]
+    rows = [(i, " ".join([text(rng.randrange(0, 40)), *rng.choices(passages, k=rng.randrange(0, 4)), text(rng.randrange(0, 40))])) for i in range(80)]
+    rows += [(100, "tiny"), (101, "tiny"), (102, None), (103, ""), (104, "a" * 700), (105, "a" * 700)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for least in (0, 80):
+        got = substrings.repeated_spans(docs, min_bytes=least)
+        assert sorted(tuple(r) for r in got.select("doc_id", "start", "length", "n_chunks", "first_doc_id", "first_start").collect()) == brute_spans(rows, least)
+
+
 def test_defined_cases(spark):
     long = "abc def " * 20_000
-    rows = [(1, None), (2, ""), (3, "short"), (4, "short"), (None, "x" * 500), (5, long), (5, long)]
+    rows = [(1, None), (2, ""), (3, "short"), (4, "short."), (None, "x" * 500), (5, long), (5, long)]
     got = substrings.repeated_spans(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", start int")).collect()
     assert {r.doc_id for r in got} <= {5}
     assert substrings.repeated_spans(spark.createDataFrame([], SCHEMA)).collect() == []
