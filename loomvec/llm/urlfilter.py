@@ -5,7 +5,9 @@ each URL, one bit in each of its eight 64-bit lanes. Pages whose bits are all
 set are possible hits; an exact join on the canonical URL removes the false
 positives. The filter's size follows from the list's length; it is broadcast
 only while it stays under ``BROADCAST_BYTES``, and joined by block number
-beyond that. Everything is DataFrame expressions.
+beyond that. Pages are read once: those that can't be hits go through the
+exact join under keys that fit nothing and are dealt out evenly. Everything
+is DataFrame expressions.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is allowed unless a rule fits (none can); repeated rows are judged each; an
@@ -17,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.session import materialize
+
 LANES = 8
 BITS_PER_URL = 16
 BLOCK_BYTES = 72
 BROADCAST_BYTES = 32 << 20
+#: Keys over which rows are dealt that a join must not match.
+APART = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,20 +93,20 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     host, path, query = url_parts(F.col(url_column))
     parts = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"), query.alias("query"))
     parts = parts.withColumn("canonical", canonical_url(F.col("host"), F.col("path"), F.col("query"))).drop("query")
-    listed = listed.select("canonical").where("canonical is not null and canonical <> ''").distinct()
+    listed = materialize(listed.select("canonical").where("canonical is not null and canonical <> ''").distinct(), "listed", small=True)
     count = listed.count()
     made, blocks = bloom_blocks(listed, "canonical", count)
     small = blocks * BLOCK_BYTES <= broadcast_bytes
-    probed = parts.withColumn("block", F.when(F.col("canonical") != "", _block(F.col("canonical"), blocks)))
+    apart = -1 - F.pmod(F.xxhash64("page_id", "canonical", "path"), F.lit(APART))
+    probed = parts.withColumn("block", F.when(F.col("canonical") != "", _block(F.col("canonical"), blocks)).otherwise(apart))
     probed = probed.join(F.broadcast(made) if small else made, "block", "left")
     hit = F.lit(True)
     for j, bit in enumerate(_bits(F.col("canonical"))):
         hit = hit & (F.col(f"lane{j}").bitwiseAND(bit) == bit)
-    probed = probed.select("page_id", "host", "path", "canonical", F.coalesce(hit, F.lit(False)).alias("possible"))
-    known = listed.withColumn("listed", F.lit(True))
-    if count * 128 <= broadcast_bytes:
-        known = F.broadcast(known)
-    hits = probed.where("possible").join(known, "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    both = hits.select("page_id", "host", "path", "possible", "listed").unionByName(probed.where("not possible").select("page_id", "host", "path", "possible", F.lit(False).alias("listed")))
+    possible = F.coalesce(hit, F.lit(False))
+    probed = probed.select("page_id", "host", "path", F.when(possible, F.col("canonical")).otherwise("").alias("canonical"), F.when(possible, F.lit(0).cast("long")).otherwise(apart).alias("salt"))
+    known = listed.withColumn("salt", F.lit(0).cast("long")).withColumn("listed", F.lit(True))
+    weight = listed.agg(F.coalesce(F.sum(F.length("canonical") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    both = probed.join(F.broadcast(known) if weight <= broadcast_bytes else known, ["canonical", "salt"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
     return both.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

@@ -40,3 +40,16 @@ def test_no_false_positives_or_dismissals(spark):
     got = run(spark, urls, sorted(listed))
     assert {i for i, r in got.items() if r.listed} == set(range(0, 3000, 7))
     assert run(spark, urls[:3], []) and run(spark, [], ["a"]) == {}
+
+
+def test_pages_are_read_once(spark, sf_dir):
+    from loomvec.llm.queries import op8_url_filter
+
+    plan = op8_url_filter(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("pages.parquet") <= 1 and not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_without_broadcast_no_row_is_lost(spark):
+    urls = [None] * 400 + ["no scheme"] * 100 + [f"http://h.io/{i % 5}" for i in range(200)]
+    got = run(spark, urls, ["h.io/1"], broadcast_bytes=0)
+    assert len(got) == 700 and sum(r.listed for r in got.values()) == 40
