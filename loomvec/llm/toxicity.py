@@ -37,10 +37,9 @@ from loomvec.llm.textarrays import PolyHash, mix64, release_memory, slices
 from loomvec.session import materialize
 
 POSITIVE, NEGATIVE = 1500, 4500
-MAX_ENTRIES = 300
-STEM_MIN, STEM_MAX = 4, 8
+STEM_MIN = 4
 FUZZY_MIN = 5
-#: New positive documents that an entry must match.
+#: Positive documents of the sample that an entry must match, beyond what the ones before it cover; this bounds the lexicon.
 LEAST_NEW = 3
 FUZZY_WEIGHT, QUOTED_WEIGHT = 0.6, 0.25
 WINDOW = 40
@@ -159,16 +158,26 @@ class Matcher:
         return found
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    """Inside quotation marks on its line, or with a word of reporting close before it."""
-    line = text.rfind("\n", 0, start) + 1
-    stop = text.find("\n", end)
-    before, after = text[line:start], text[end : stop if stop >= 0 else len(text)]
-    marks = sum(before.count(q) for q in QUOTES)
-    if marks % 2 and any(q in after for q in QUOTES):
-        return True
-    near = text[max(line, start - WINDOW) : start].split()
-    return any(w.strip(".,:;!?()'") in REPORTING for w in near)
+_QUOTE_POINTS = np.array(sorted(ord(c) for c in QUOTES), np.uint32)
+
+
+def quoted(text: str, points: np.ndarray, at: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words stand inside quotation marks on their line, or with a word of reporting close before them.
+
+    The marks and line ends of the slice are listed once, so the cost doesn't
+    grow with the length of a line.
+    """
+    marks, breaks = np.flatnonzero(np.isin(points, _QUOTE_POINTS)), np.flatnonzero(points == 10)
+    after = np.searchsorted(breaks, start)
+    line = np.maximum(at[row], np.append(breaks, -1)[after - 1] + 1 if len(breaks) else 0)
+    line = np.where(after > 0, line, at[row])
+    stop = np.minimum(at[row + 1], np.append(breaks, len(points))[after])
+    opened = (np.searchsorted(marks, start) - np.searchsorted(marks, line)) % 2 == 1
+    inside = opened & (np.searchsorted(marks, stop) > np.searchsorted(marks, end))
+    for i in np.flatnonzero(~inside):
+        near = text[max(line[i], start[i] - WINDOW) : start[i]].split()
+        inside[i] = any(w.strip(".,:;!?()'") in REPORTING for w in near)
+    return inside
 
 
 def weights(matcher: Matcher, column: pa.Array) -> np.ndarray:
@@ -181,13 +190,13 @@ def weights(matcher: Matcher, column: pa.Array) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])[at]
         start, end, row = tokens(points, at)
-        for i in np.flatnonzero(matcher.candidates(points, start, end)):
-            found = matcher.match(text[start[i] : end[i]])
-            if found:
-                weight = FUZZY_WEIGHT if found[1] else 1.0
-                own = text[at[row[i]] : at[row[i] + 1]]
-                shift = at[row[i]]
-                out[first + row[i]] += weight * (QUOTED_WEIGHT if _quoted(own, start[i] - shift, end[i] - shift) else 1.0)
+        hits = np.flatnonzero(matcher.candidates(points, start, end))
+        found = [matcher.match(text[start[i] : end[i]]) for i in hits]
+        hits = hits[np.array([f is not None for f in found], bool)]
+        weight = np.array([FUZZY_WEIGHT if f[1] else 1.0 for f in found if f is not None])
+        if len(hits):
+            weight = np.where(quoted(text, points, at, row[hits], start[hits], end[hits]), weight * QUOTED_WEIGHT, weight)
+            np.add.at(out, first + row[hits], weight)
     return out
 
 
@@ -240,7 +249,7 @@ def _frequencies(texts: DataFrame, wanted: list[tuple[str, bool]]) -> np.ndarray
                 seen = set()
                 for w in {folded[a:b] for a, b in zip(start, end, strict=True) if b - a >= STEM_MIN}:
                     seen.add(where.get((w, False), -1))
-                    seen.update(where.get((w[:n], True), -1) for n in range(STEM_MIN, min(STEM_MAX, len(w) - 1) + 1))
+                    seen.update(where.get((w[:n], True), -1) for n in range(STEM_MIN, len(w)))
                 seen.discard(-1)
                 total[list(seen)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
@@ -276,7 +285,7 @@ def _cover(positive: list[frozenset[str]], negatives: DataFrame, n_negative: int
     for i, found in enumerate(positive):
         for w in found:
             held.setdefault((w, False), set()).add(i)
-            for n in range(STEM_MIN, min(STEM_MAX, len(w) - 1) + 1):
+            for n in range(STEM_MIN, len(w)):
                 held.setdefault((w[:n], True), set()).add(i)
     least = max(LEAST_NEW, len(positive) // 200)
     wanted = sorted(k for k, v in held.items() if len(v) >= least)
@@ -284,7 +293,7 @@ def _cover(positive: list[frozenset[str]], negatives: DataFrame, n_negative: int
     good = {k: held[k] for k, c in zip(wanted, counts, strict=True) if c <= max(1, 0.0005 * n_negative) and len(held[k]) / max(1, len(positive)) > 40 * c / max(1, n_negative)}
     need = {i: 2 for i in range(len(positive))}
     out: list[Entry] = []
-    while good and len(out) < MAX_ENTRIES:
+    while good:
         gain = {k: sum(need[i] > 0 for i in v) for k, v in good.items()}
         best = max(good, key=lambda k: (gain[k], len(k[0]), not k[1], k[0]))
         if gain[best] < least:
@@ -300,8 +309,8 @@ def _cover(positive: list[frozenset[str]], negatives: DataFrame, n_negative: int
 
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> Model:
     """Lexicon and curve from the labelled documents that aren't held out."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    per = {bool(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    per = {bool(r["marked"]): r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("marked")).count().collect()}
     empty = Model([], frozenset(), 0.0, 0.0)
     if len(per) < 2:
         return empty
@@ -310,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     chosen = known.where(draw < share)  # about positive + negative rows, so that it can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)) == 0).alias("half"))
     texts = materialize(texts, "labelled")
-    marked, clean = texts.where("toxic > 0"), texts.where("toxic = 0")
+    marked, clean = texts.where("toxic > 0"), texts.where("toxic <= 0")
     n_clean = clean.count()
     entries = _cover(_words_of(marked), clean, n_clean)
     if not entries or not n_clean:
