@@ -3,9 +3,10 @@
 A text is the average of the embeddings of its byte n-grams (2 and 3, hashed
 into ``BUCKETS``), followed by a linear softmax over the languages. Both
 matrices are trained by stochastic gradient descent in NumPy on a bounded
-sample of labelled documents: ``PER_LANGUAGE`` of each language in
-expectation, drawn by a hash of the id, whole texts. A tenth of the sample is
-held back to fit the softmax's temperature and the rejection threshold.
+sample of labelled documents, drawn by a hash of the id, whole texts:
+``PER_LANGUAGE`` of each language in expectation, and ``SAMPLE`` in all, of the
+``LANGUAGES`` most frequent languages at most. A tenth of the sample is held
+back to fit the softmax's temperature and the rejection threshold.
 
 As nothing but an average stands before the linear layer, the two matrices
 fold into one table of logits for each bucket, and prediction is a lookup and
@@ -13,7 +14,8 @@ a sum over the whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; a null ``doc_id`` is predicted and never trained on; null
-languages are never trained on; with no usable label all is ``und``; ties go
+languages, and those beyond the ``LANGUAGES`` most frequent, are never
+trained on; with no usable label all is ``und``; ties go
 to the first language by code point; repeated rows are predicted each; other
 columns are ignored; an empty table gives no rows.
 """
@@ -31,7 +33,8 @@ from loomvec.llm.textarrays import buffers, release_memory, slices
 
 BUCKETS = 4096
 DIMENSIONS = 16
-PER_LANGUAGE = 800
+#: Bounds of the labelled sample: documents of one language, of all together, and languages.
+PER_LANGUAGE, SAMPLE, LANGUAGES = 800, 6400, 256
 EPOCHS = 12
 BATCH = 32
 RATE = 0.5
@@ -100,8 +103,25 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
+@dataclass(frozen=True)
+class Layers:
+    """Embeddings of the buckets, and the linear layer over their average."""
+
+    embedding: np.ndarray
+    output: np.ndarray
+
+    def fold(self) -> np.ndarray:
+        """Logits of each bucket; the row behind the last is zero."""
+        return np.concatenate([self.embedding @ self.output, np.zeros((1, self.output.shape[1]), np.float32)])
+
+
 def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], seed: int = 9) -> Model:
     """``counts``: documents x buckets (scaled in place), ``labels``: index of each one's language."""
+    return calibrated(*train_layers(counts, labels, languages, seed), languages)
+
+
+def train_layers(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], seed: int) -> tuple[Layers, np.ndarray, np.ndarray]:
+    """The layers, and averaged counts and labels of the documents that were held back."""
     rng = np.random.default_rng(seed)
     x = counts
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
@@ -131,19 +151,23 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], se
             grad = p @ out.T
             out -= rate * (hidden.T @ p)
             embed -= rate * (xb.T @ grad)
-    logits = np.zeros((x.shape[1] + 1, classes), np.float32)
-    logits[:-1] = (embed @ out) * scale
-    z = x[held] @ logits[:-1]
+    return Layers(embed, out * scale), x[held], labels[held]
+
+
+def calibrated(layers: Layers, held: np.ndarray, labels: np.ndarray, languages: tuple[str, ...]) -> Model:
+    """Temperature and rejection threshold by the documents held back."""
+    logits = layers.fold()
+    z = held @ logits[:-1]
 
     def likelihood(t: float) -> float:
         s = z / t
         s = s - s.max(axis=1, keepdims=True)
-        return float((s[np.arange(len(held)), labels[held]] - np.log(np.exp(s).sum(axis=1))).mean())
+        return float((s[np.arange(len(held)), labels] - np.log(np.exp(s).sum(axis=1))).mean())
 
     temperature = max((float(t) for t in np.geomspace(0.1, 5, 40)), key=likelihood)
     s = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
     top = (s / s.sum(axis=1, keepdims=True)).max(axis=1)
-    right = top[z.argmax(axis=1) == labels[held]]
+    right = top[z.argmax(axis=1) == labels]
     threshold = min(REJECT_MOST, float(np.quantile(right, REJECT_SHARE))) if len(right) else REJECT_MOST
     return Model(languages, logits, temperature, threshold)
 
@@ -153,12 +177,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, per_language: float = PER_LANGUAGE) -> Model | None:
     """A model from the documents that aren't held out; None without a usable label."""
-    usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    per = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    per = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not per:
         return None
+    per_language = min(per_language, SAMPLE / len(per))
     languages = tuple(sorted(per, key=lambda x: x.encode()))
     share = F.element_at(F.create_map(*[x for k, v in per.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))]), F.col("lang"))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / float(1 << 53)

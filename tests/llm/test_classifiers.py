@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomvec.llm import langid, queries, toxicity
@@ -25,6 +26,44 @@ def test_language_defined_cases(spark):
     assert langid.fit(none) is None and langid.identify(none).collect() == []
 
 
+def plain_grams(text):
+    """Buckets of the byte n-grams, one at a time."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+    for n in (2, 3):
+        for i in range(len(folded) - n + 1):
+            if folded[i : i + 2] != b"  ":
+                h = n
+                for c in folded[i : i + n]:
+                    h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                yield ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20
+
+
+def test_scores_as_embedding_average_and_softmax():
+    rng = np.random.default_rng(2)
+    words = [["the", "and", "of", "cat"], ["der", "und", "hünd", "katze"], ["le", "été", "chat", "une"]]
+    texts = [" ".join(rng.choice(words[i % 3], 12)) for i in range(90)]
+    counts = np.zeros((90, langid.BUCKETS), np.float32)
+    for row, text in zip(counts, texts, strict=True):
+        for g in plain_grams(text):
+            row[g] += 1
+    layers, held, labels = langid.train_layers(counts, np.arange(90) % 3, ("de", "en", "fr"), 9)
+    model = langid.calibrated(layers, held, labels, ("de", "en", "fr"))
+    asked = [*texts[:9], "The CAT, 12 and!! of\n\nhim", "ü", "a"]
+    raw = [t.encode() for t in asked]
+    got = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for text, p in zip(asked, got, strict=True):
+        grams = list(plain_grams(text))
+        average = np.mean([layers.embedding[g] for g in grams], axis=0) if grams else np.zeros(langid.DIMENSIONS)
+        z = np.exp((average @ layers.output) / model.temperature - np.max((average @ layers.output) / model.temperature))
+        assert p == pytest.approx(z / z.sum(), abs=1e-5)
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i}", f"l{i % 300}") for i in range(1200)], "doc_id int, text string, lang string")
+    model = langid.fit(docs, per_language=3)
+    assert len(model.languages) <= langid.LANGUAGES
+
+
 def test_ngrams_stay_in_their_text():
     one = np.frombuffer(b"abc", np.uint8)
     both = np.frombuffer(b"abcxabc", np.uint8)
@@ -68,6 +107,56 @@ def test_quotation_counts_less():
     assert got.tolist() == [1.0, 0.25, 0.25, 0.6, 0.0, 0.0, 1.0]
 
 
+def plain_weight(entries, text):
+    """The weighted sum of a text's matches, word by word."""
+    low, total, i = text.lower(), 0.0, 0
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789@$*"
+    while i < len(low):
+        j = i
+        while j < len(low) and (low[j] in signs or (low[j] >= "\u00c0" and not "\u2000" <= low[j] <= "\u206f" and low[j] != "\u3000")):
+            j += 1
+        if j > i:
+            word = low[i:j]
+            edits = [min(levenshtein(e.text, word[:n]) for n in range(len(word) + 1)) if e.stem else levenshtein(e.text, word) for e in entries]
+            best = min((d for e, d in zip(entries, edits, strict=True) if d <= e.fuzzy), default=None)
+            if best is not None:
+                a, b = low.rfind("\n", 0, i) + 1, low.find("\n", j)
+                before, after = low[a:i], low[j : b if b >= 0 else len(low)]
+                said = any(w.strip(".,:;!?()'") in toxicity.REPORTING for w in low[max(a, i - toxicity.WINDOW) : i].split())
+                inside = sum(before.count(q) for q in toxicity.QUOTES) % 2 == 1 and any(q in after for q in toxicity.QUOTES)
+                total += (toxicity.FUZZY_WEIGHT if best else 1.0) * (toxicity.QUOTED_WEIGHT if said or inside else 1.0)
+        i = max(j, i + 1)
+    return total
+
+
+def test_weights_and_score_as_plain_version():
+    import pyarrow as pa
+
+    entries = [toxicity.Entry("idiot", False, True), toxicity.Entry("scum", False, False), toxicity.Entry("lowei", True, True)]
+    rng = np.random.default_rng(5)
+    parts = ["idiot", "idyot", "SCUM", "scun", "loweixx", "said", '"', "“", "”", "\n", "x", "word,", "é", "zitat:", "lo\nwei"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(300)] + [None, ""]
+    got = toxicity.weights(toxicity.Matcher(entries), pa.array(texts))
+    assert got.tolist() == pytest.approx([plain_weight(entries, t or "") for t in texts])
+    model = toxicity.Model(entries, frozenset(), -2.0, 3.0)
+    assert model.score(got).tolist() == pytest.approx([1 / (1 + np.exp(2.0 - 3.0 * np.log(1 + w))) for w in got])
+
+
+def test_long_line_takes_time_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    matcher = toxicity.Matcher([toxicity.Entry("idiot", False, True)])
+    seconds = []
+    for n in (20_000, 80_000):
+        column = pa.array(['"x" you idiot ' * n])
+        began = time.process_time()
+        assert toxicity.weights(matcher, column)[0] > 0
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 9 * seconds[0] + 0.5
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -83,6 +172,8 @@ def test_toxicity_defined_cases(spark):
     odd = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "idiot loser " * 9000, 1.0), (3, "idiot loser " * 9000, 1.0), (None, "idiot loser", 1.0)], "doc_id long, text string, score double")
     got = sorted((r.doc_id or 0, r.predicted) for r in toxicity.toxicity(odd, model).collect())
     assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
+    marked = toxicity.fit(docs.withColumn("doc_id", F.col("doc_id").cast("int")), labels.withColumn("toxic", F.col("toxic") > 0))
+    assert marked.entries == model.entries and marked.slope == pytest.approx(model.slope)
     none = toxicity.fit(docs, labels.where("toxic = 0"))
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
     assert toxicity.toxicity(docs.where("false"), model).collect() == []
