@@ -4,7 +4,9 @@
 (stts, stsc, stsz/stz2, stco/co64, stss) and returns codec, duration and the
 byte ranges of the keyframes without touching the payload. ``write`` stores
 bytes losslessly as 8-bit samples, so that any payload can make the round
-trip. Broken containers give a result with ``error`` set and never raise.
+trip. Broken containers give a result with ``error`` set and never raise:
+boxes nested deeper than ``DEPTH``, tables that claim more than the file
+holds, chunk runs out of order and samples outside the file are errors.
 
 Defined cases: a null text counts as empty; an empty text becomes one block of
 64 zero bytes; equal texts give equal containers; a null ``doc_id`` is kept;
@@ -28,6 +30,8 @@ RATE = 8000
 SAMPLE_BYTES = 4096
 SAMPLES_PER_CHUNK = 16
 KEY_EVERY = 8
+#: Boxes within boxes.
+DEPTH = 32
 
 FEATURE_SCHEMA = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:long,length:long>>, error string"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, n_keyframes long"
@@ -85,10 +89,13 @@ def write(payload: bytes) -> bytes:
     return ftyp + moov(head) + mdat + payload
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of box types, start of the body, end) of every box, nested ones included."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path of box types, start of the body, end) of every box, nested ones included, in the file's order."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]  # path, place, end
+    while open_:
+        path, start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
@@ -99,10 +106,12 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} exceeds its parent")
+        if len(path) >= DEPTH:
+            raise ValueError("boxes are nested too deep")
         yield (*path, kind), start + head, start + size
+        open_.append((path, start + size, end))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            open_.append(((*path, kind), start + head, start + size))
 
 
 def _table(data: bytes, at: tuple[int, int], form: str, skip: int = 4) -> list[tuple]:
@@ -119,6 +128,8 @@ def _sizes(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> list[int]:
     if b"stsz" in boxes:
         begin, end = boxes[b"stsz"]
         same, n = struct.unpack_from(">II", data, begin + 4)
+        if same * n > len(data):
+            raise ValueError("the samples exceed the file")
         if same:
             return [same] * n
         if begin + 12 + 4 * n > end:
@@ -156,6 +167,8 @@ def tracks(data: bytes) -> list[dict]:
         offsets = [x for (x,) in _table(data, boxes[b"co64"], "Q")] if b"co64" in boxes else [x for (x,) in _table(data, boxes[b"stco"], "I")] if b"stco" in boxes else []
         layout = _table(data, boxes[b"stsc"], "III") if b"stsc" in boxes else []
         ranges: list[tuple[int, int]] = []
+        if any(a < 1 or a >= b for a, b in zip([x[0] for x in layout], [*[x[0] for x in layout[1:]], 1 << 32], strict=True)):
+            raise ValueError("chunk runs are out of order")
         for k, (first, each, _) in enumerate(layout):
             until = layout[k + 1][0] if k + 1 < len(layout) else len(offsets) + 1
             for chunk in range(first, min(until, len(offsets) + 1)):
@@ -163,6 +176,8 @@ def tracks(data: bytes) -> list[dict]:
                 for _ in range(min(each, len(sizes) - len(ranges))):
                     ranges.append((at, sizes[len(ranges)]))
                     at += ranges[-1][1]
+        if any(a + n > len(data) for a, n in ranges):
+            raise ValueError("a sample lies outside the file")
         keys = [x for (x,) in _table(data, boxes[b"stss"], "I")] if b"stss" in boxes else range(1, len(ranges) + 1)
         track |= {"ranges": ranges, "keyframes": [ranges[x - 1] for x in keys if 0 < x <= len(ranges)], "ticks": sum(a * b for a, b in _table(data, boxes[b"stts"], "II")) if b"stts" in boxes else 0}
         out.append(track)

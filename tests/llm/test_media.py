@@ -40,7 +40,7 @@ def test_other_tables():
     mdhd = sized(b"mdhd", full + struct.pack(">IIIIHH", 0, 0, 12800, 1536, 0, 0))
     trak = sized(b"trak", sized(b"mdia", mdhd + sized(b"minf", stbl)))
     large = struct.pack(">I4sQ", 1, b"moov", len(trak) + 16) + trak
-    seen = media.parse(sized(b"ftyp", b"isom" + full) + large)
+    seen = media.parse(sized(b"ftyp", b"isom" + full) + large + bytes(6000))
     assert (seen["codec"], seen["timescale"], seen["duration"], seen["samples"]) == ("avc1", 12800, 1536, 3)
     assert seen["keyframes"] == [{"start": 5000, "length": 1}, {"start": 5001, "length": 2}, {"start": 5003, "length": 3}]
 
@@ -50,6 +50,34 @@ def test_broken(broken):
     assert media.parse(broken)["error"]
 
 
+def table_file(stsc, stsz, stco):
+    full = bytes(4)
+    stbl = sized(b"stbl", sized(b"stsc", full + stsc) + sized(b"stsz", full + stsz) + sized(b"stco", full + stco))
+    return sized(b"moov", sized(b"trak", sized(b"mdia", sized(b"minf", stbl)))) + bytes(200)
+
+
+def test_hostile():
+    deep = b""
+    for _ in range(1200):
+        deep = sized(b"moov", deep)
+    one, chunk = struct.pack(">II", 4, 1), struct.pack(">II", 1, 10)
+    good = struct.pack(">IIII", 1, 1, 1, 1)
+    assert media.parse(table_file(good, one, chunk))["error"] is None
+    for broken, why in (
+        (deep, "deep"), (table_file(good, struct.pack(">II", 1, 0xFFFFFFFF), chunk), "exceed"), (table_file(struct.pack(">IIII", 1, 0, 1, 1), one, chunk), "order"),
+        (table_file(struct.pack(">7I", 2, 2, 1, 1, 1, 1, 1), one, chunk), "order"), (table_file(good, one, struct.pack(">II", 1, 5000)), "outside"),
+    ):
+        assert why in media.parse(broken)["error"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9), st.integers(0, 255), st.binary(max_size=12))
+def test_never_raises(at, byte, tail):
+    made = bytearray(media.write(b"abc" * 3000)[:1200] + tail)
+    made[at % len(made)] = byte
+    media.parse(bytes(made))
+
+
 def test_columns(spark):
     made = media.write(b"x" * 100)
     df = spark.createDataFrame([(1, bytearray(made), "own"), (2, None, "own")], "id int, content binary, media string")
