@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -34,6 +35,42 @@ def test_assignment_is_whole_and_tight(lengths):
         assert at <= 100
 
 
+def plain_greedy(lengths, capacity, linear, quadratic):
+    """The rule with loops: descending, to the cheapest sequence with room, else into the room that is left."""
+    bins = [[0, 0.0] for _ in range(-(-sum(lengths) // capacity))]  # filled, cost
+    out = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        left, start = lengths[i], 0
+        while left:
+            fits = [b for b in range(len(bins)) if capacity - bins[b][0] >= left and not start]
+            b = min(fits, key=lambda b: bins[b][1]) if fits else min(range(len(bins)), key=lambda b: bins[b][0])
+            take = min(left, capacity - bins[b][0])
+            out.append((i, start, take, b, bins[b][0]))
+            bins[b][0] += take
+            bins[b][1] += linear * take + quadratic * take * take
+            start, left = start + take, left - take
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=50))
+def test_assignment_as_plain_greedy(lengths):
+    assert packing.assign(np.array(lengths, np.int64), 64, 1.0, 1 / 64) == plain_greedy(lengths, 64, 1.0, 1 / 64)
+
+
+def test_ids_as_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.public_encoder()
+    rng = random.Random(1)
+    kinds = ["abcdefgh THE", "äöüßéñ ", "\n\t\r\x0b ", "0123456789.,-", "日本語テキスト", "😀👩‍👧🏽\u0301", "'s't'll \u00a0\u2028", "\x00\x7f\ufeff"]
+    for _ in range(4000):
+        text = "".join(rng.choice(rng.choice(kinds)) if rng.random() < 0.9 else chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(0, 40)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_equal_lengths_balance_cost():
     rows = packing.assign(np.array([50] * 4 + [25] * 8, np.int64), 100, 1.0, 1.0)
     cost = defaultdict(float)
