@@ -12,9 +12,10 @@ partners agree in one subset at least.
 Exactness. A subset may be empty, and a signature may be shared by very many
 documents (a common passage). Partners share signatures of as many first-level
 partitions as a set has in use beyond those that k differences can spoil, so a
-set need not be looked at under its most common ones (``needed``). A set with
-too few partitions in use also signs with each shingle alone, so two such sets
-meet there. No pair is lost, whatever the skew.
+set need not be looked at under its most common ones (``needed``, used before
+very large groups are dealt out again). A set with too few partitions in use
+also signs with each shingle alone, so two such sets meet there. No pair is
+lost, whatever the skew.
 
 Cost. Equal sets are merged first, so copies never meet. Signatures travel as
 packed arrays, one row for each of many parts, and meet in one task by part;
@@ -23,12 +24,11 @@ batch's first and not sent. A group of up to ``SMALL`` members gives all its
 pairs; a larger one gives pairs with its smallest member only (a star). The
 pairs are ruled out by small sketches, with certainty, or verified on the sets,
 and linked sets are merged into components. Groups that still span several
-components, less the members that need not be looked at there, are compared
-within the group, in blocks, by sketches; only pairs that aren't ruled out
-leave the block. A group in which that would be more than ``MOST_PAIRS``
-comparisons is dealt out again first: its members sign with fresh partitions,
-each signature together with the group's, which splits those that share no
-more than a passage, and the new groups go the same way.
+components are compared within the group, in blocks, by sketches; only pairs
+that aren't ruled out leave the block. A group in which that would be more
+than ``MOST_PAIRS`` comparisons is dealt out again first: its members sign with
+fresh partitions, each signature together with the group's, which splits those
+that share no more than a passage, and the new groups go the same way.
 """
 
 from __future__ import annotations
@@ -58,8 +58,10 @@ FLUSH = 1 << 19
 #: Ids, and bytes of arrays, that are broadcast at most; beyond that a shuffle join is used.
 BROADCAST_IDS, BROADCAST_BYTES = 1 << 21, 32 << 20
 SEED = 11
+#: Pairs that are compared at once, without waiting for links that make some needless.
+DIRECT = 1 << 18
 #: First-level partitions for each that is needed.
-SPREAD = 1.25
+SPREAD = 1.2
 #: Second-level partitions, and how many of them a signature leaves out.
 N2, K2 = 3, 1
 KEPT = [list(x) for x in combinations(range(N2), N2 - K2)]
@@ -309,6 +311,8 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
 CELLS = 256
 #: Members of a group on either side of a cell that is compared at once.
 BLOCK = 512
+#: Pairs that a member names of one component at first, in one cell; the rest only if these link neither.
+NAMED = 16
 
 
 def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -396,12 +400,15 @@ def _compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 def _connecting(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Links among the plausible ``pairs`` (a < b) that connect all similar ones.
 
-    Each b is compared with its smallest a first. A pair whose sides are then
+    Of many pairs, each b is compared with its smallest a first. A pair whose sides are then
     linked with the same document is connected already and isn't compared.
     """
     pairs = materialize(pairs, f"{name}-pairs", small=True)
-    if not pairs.limit(1).count():
+    n = pairs.count()
+    if not n:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if n <= DIRECT:
+        return _compared(docs, pairs, name)
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
     links = _compared(docs, first, f"{name}-first")
     to = lambda side: links.select(F.col("v").alias(side), F.col("u").alias(f"to_{side}"))
@@ -413,7 +420,7 @@ def _connecting(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 def _torn_members(found: DataFrame, merged: DataFrame, name: str) -> DataFrame:
     """(sig, b, c) of the star groups whose members are in several components c."""
     stars = found.where(F.col("kind") == STAR)
-    label = lambda df, key: df.join(merged.select(F.col("id").alias(key), F.col("component").alias(f"c_{key}")), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))
+    label = lambda df, key: df.join(_rooted(merged, key), key, "left").withColumn(f"c_{key}", F.coalesce(f"c_{key}", key))
     split = label(label(stars.select("a", "b").distinct(), "a"), "b").where("c_a <> c_b").select("a", "b")
     torn = stars.join(split, ["a", "b"], "left_semi").select("sig").distinct()
     return materialize(label(stars.join(torn, "sig", "left_semi").select("sig", "b").distinct(), "b").withColumnRenamed("c_b", "c"), f"members-{name}", small=True)
@@ -523,13 +530,14 @@ def _runs(batches, keys: int) -> Iterator[list[pa.RecordBatch]]:
 
 
 def _within(base: DataFrame, members: DataFrame, every: bool, block: int = BLOCK) -> DataFrame:
-    """Plausible pairs (a, b) of different components in one group of ``members`` (sig, b, c).
+    """Plausible pairs (a, b, sig) of different components in one group of ``members`` (sig, b, c).
 
     Members outside a group's largest component meet all others. Both are
     dealt into blocks, and each cell of two blocks is compared by sketches
     where it lies, so no task holds more than two blocks of a group and no
-    pair that is ruled out becomes a row. Without ``every`` only a member's
-    closest of each component in the cell is named.
+    pair that is ruled out becomes a row. Without ``every`` a member names its
+    ``NAMED`` closest of each component in the cell; ``sig`` is given where it
+    has more, else 0.
     """
     sizes = _sizes(members).withColumn("across", F.ceil(F.col("g") / F.lit(block)).cast("int")).withColumn("down", F.ceil((F.col("g") - F.col("top")) / F.lit(block)).cast("int"))
     placed = members.join(sizes, "sig")
@@ -545,19 +553,20 @@ def _within(base: DataFrame, members: DataFrame, every: bool, block: int = BLOCK
             sig, x, y, probe, ids, comp, n = (table.column(i).to_numpy() for i in range(7))
             drawn = buffers(table.column(7))[0].reshape(-1, CELLS)
             edge = np.flatnonzero((sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            a, b, over = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(np.append(0, edge), np.append(edge, len(sig)), strict=True):
                 own = np.arange(lo, hi)
-                for i, j in close_pairs(own[~probe[lo:hi]], own[probe[lo:hi]], drawn, n, comp, every):
+                for i, j, more in close_pairs(own[~probe[lo:hi]], own[probe[lo:hi]], drawn, n, comp, len(sig) if every else NAMED):
                     a.append(np.minimum(ids[i], ids[j]))
                     b.append(np.maximum(ids[i], ids[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    over.append(np.where(more, sig[lo], 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, over)], names=["a", "b", "sig"])
 
-    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long, sig long").where("a <> b").distinct()
 
 
-def close_pairs(members: np.ndarray, probes: np.ndarray, drawn: np.ndarray, n: np.ndarray, comp: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(members, probes) of different components that the sketches don't rule out."""
+def close_pairs(members: np.ndarray, probes: np.ndarray, drawn: np.ndarray, n: np.ndarray, comp: np.ndarray, named: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(members, probe, whether it has more there) of different components that the sketches don't rule out."""
     wide = drawn[members].astype(np.int16)
     for j in probes if len(members) else ():
         both = n[members] + n[j]
@@ -566,12 +575,12 @@ def close_pairs(members: np.ndarray, probes: np.ndarray, drawn: np.ndarray, n: n
             continue
         far = np.abs(wide[other] - drawn[j]).sum(axis=1)
         near = (SHARED + ALL) * (both[other] - far) >= 2 * SHARED * both[other]
-        other, far = other[near], far[near]
-        if len(other) and not every:
-            order = np.lexsort((far, comp[members[other]]))
-            other = other[order][np.concatenate([[True], np.diff(comp[members[other[order]]]) != 0])]
-        if len(other):
-            yield members[other], np.full(len(other), j)
+        if near.any():
+            order = np.lexsort((far[near], comp[members[other[near]]]))
+            other = members[other[near][order]]
+            starts, lengths = groups(comp[other])
+            rank = np.arange(len(other)) - np.repeat(starts, lengths)
+            yield other[rank < named], j, np.repeat(lengths > named, lengths)[rank < named]
 
 
 def jaccard_components(docs: DataFrame, *, spread: float = SPREAD, most: int = MOST_PAIRS) -> DataFrame:
@@ -604,42 +613,36 @@ def _components(docs: DataFrame, spread: float, most: int) -> DataFrame:
         work = work.unionByName(_only(known, twice, "left_semi")).distinct()
     parts = 1 << max(3, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     found = materialize(_meet(_send(work, parts, spread), parts), "found")
-    merged, links = None, None
+    merged = None
     for level in range(LEVELS + 1):
-        fresh = _connecting(known, _plausible(base, found.where("a <> b").select("a", "b").distinct()), f"verify-{level}")
-        links = fresh if links is None else links.unionByName(fresh)
-        merged = connected_components(links)
+        merged = _with_links(merged, _connecting(known, _plausible(base, found.where("a <> b").select("a", "b").distinct()), f"verify-{level}"))
         members = _torn_members(found, merged, str(level))
         if not members.limit(1).count():
             break
-        sized = members.join(_sizes(members).select("sig", "g"), "sig")
-        if level == 0:
-            kept = _pruned(known, sized, spread)
-            members = materialize(kept.join(members, ["b", "sig"]).select("sig", "b", "c"), "kept", small=True)
         sizes = materialize(_sizes(members), f"sizes-{level}", small=True)
         # Pairs of a group: all of its members with those outside its largest component.
         few = F.col("g") * (F.col("g") - F.col("top")) <= most if level < LEVELS else F.lit(True)
         near = members.join(sizes.where(few).select("sig"), "sig", "left_semi")
-        for every in (False, True):
-            pairs = materialize(_within(base, near, every), f"within-{level}", small=True)
-            if not pairs.limit(1).count():
-                break
-            more = _connecting(known, pairs, f"again-{level}-{every}")
-            if more.limit(1).count():
-                links, merged = links.unionByName(more), None
-            if not every:
-                merged = connected_components(links) if merged is None else merged
-                near = materialize(_relabelled(near, merged), f"near-{level}", small=True)
-        large = members.join(sizes.where(~few).select("sig"), "sig", "left_semi")
-        merged = connected_components(links) if merged is None else merged
-        large = materialize(_relabelled(large, merged), f"large-{level}", small=True)
-        large = large.join(_sizes(large).select("sig"), "sig", "left_semi")
+        pairs = materialize(_within(base, near, False), f"within-{level}", small=True)
+        merged = _with_links(merged, _connecting(known, pairs.select("a", "b").distinct(), f"again-{level}"))
+        if pairs.where("sig <> 0").limit(1).count():  # where some have more to name and weren't linked
+            apart = pairs.where("sig <> 0").join(_rooted(merged, "a"), "a", "left").join(_rooted(merged, "b"), "b", "left")
+            apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("sig").distinct()
+            near = materialize(_relabelled(near.join(apart, "sig", "left_semi"), merged), f"near-{level}", small=True)
+            pairs = materialize(_within(base, near, True).join(pairs, ["a", "b"], "left_anti").select("a", "b").distinct(), f"rest-{level}", small=True)
+            merged = _with_links(merged, _connecting(known, pairs, f"last-{level}"))
+        if not sizes.where(~few).limit(1).count():
+            break
+        large = _relabelled(members.join(sizes.where(~few).select("sig"), "sig", "left_semi"), merged)
+        large = materialize(large.join(_sizes(large).select("sig", "g"), "sig"), f"large-{level}", small=True)
+        if level == 0:
+            large = materialize(_pruned(known, large, spread), "needed", small=True)
         if not large.limit(1).count():
             break
         found = _rekeyed(known, large, spread, SEED + 1000 * (level + 1))
     same = equal.select(F.col("doc_id").alias("id"), F.col("rep").alias("component"))
     if several:  # an id may be a copy in one row and something else in another
-        merged = connected_components(links.unionByName(same.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        merged = _with_links(merged, same.select(F.col("id").alias("u"), F.col("component").alias("v")))
     else:
         of_rep = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
         merged = merged.unionByName(same.join(of_rep, "component", "left").select("id", F.coalesce("root", "component").alias("component")))
@@ -647,6 +650,23 @@ def _components(docs: DataFrame, spread: float, most: int) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _rooted(merged: DataFrame, key: str) -> DataFrame:
+    """(key, c_key): the component of each document that isn't its component's smallest."""
+    return merged.select(F.col("id").alias(key), F.col("component").alias(f"c_{key}"))
+
+
+def _with_links(merged: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, component) after further links (u, v): those between present components are contracted alone."""
+    if merged is None:
+        return connected_components(links)
+    if not links.limit(1).count():
+        return merged
+    ends = links.join(_rooted(merged, "u"), "u", "left").join(_rooted(merged, "v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+    fresh = connected_components(ends)
+    moved = merged.join(fresh.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return materialize(moved.unionByName(fresh), "merged", small=True)
+
+
 def _relabelled(members: DataFrame, merged: DataFrame) -> DataFrame:
     """``members`` (sig, b, c) with their present components."""
     to = merged.select(F.col("id").alias("c"), F.col("component").alias("now"))
