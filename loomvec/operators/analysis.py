@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomvec.functions import vectors as V
+from loomvec.functions.hashing import seed_hex16
 from loomvec.operators import profiles as P
 
 
@@ -245,6 +246,99 @@ def checkpoint_contrast(left: DataFrame, right: DataFrame, metric: Column, tag:
     return sides.groupBy(tag).agg(F.avg(F.when(F.col("same"), F.col("m"))).alias("same"), F.avg(F.when(~F.col("same"), F.col("m"))).alias("different")).withColumn("delta", F.col("same") - F.col("different"))
 
 
+#: Metrics whose smaller value is the closer one.
+ERRORS = ("rmse", "mae", "wasserstein_hz")
+
+
+def profile_metrics(a: Column, b: Column, hz: Column) -> dict[str, Column]:
+    """The ten likenesses and distances of two profiles."""
+    top = lambda q: V.jaccard(V.threshold_bins(a, q), V.threshold_bins(b, q))
+    return {
+        "pearson": V.pearson(a, b), "cosine": V.cosine(a, b), "spearman": V.spearman(a, b), "rmse": V.rmse(a, b), "mae": V.mae(a, b),
+        "jaccard_top10": top(0.9), "signed_jaccard_top10": V.signed_jaccard(a, b, 0.9), "jaccard_top5": top(0.95), "jaccard_top15": top(0.85), "wasserstein_hz": V.wasserstein(a, b, hz),
+    }
+
+
+def checkpoint_metrics(left: DataFrame, right: DataFrame, hz: Column, tag: str = "tag") -> DataFrame:
+    """(tag, metric, same, different, delta) of all ten metrics; a positive delta always means that the same checkpoint is closer.
+
+    Every pair's metrics are computed once and serve both of its checkpoints.
+    """
+    a, b = left.select(F.col(tag).alias("ta"), F.col("r").alias("ra")), right.select(F.col(tag).alias("tb"), F.col("r").alias("rb"))
+    named = profile_metrics(F.col("ra"), F.col("rb"), hz)
+    pairs = a.join(b).select("ta", "tb", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("m")) for k, v in named.items()])).alias("x")).select("ta", "tb", "x.metric", "x.m")
+    sides = pairs.select("metric", "m", (F.col("ta") == F.col("tb")).alias("same"), F.explode(F.array_distinct(F.array("ta", "tb"))).alias(tag))
+    out = sides.groupBy(tag, "metric").agg(F.avg(F.when(F.col("same"), F.col("m"))).alias("same"), F.avg(F.when(~F.col("same"), F.col("m"))).alias("different"))
+    sign = F.when(F.col("metric").isin(*ERRORS), -1.0).otherwise(1.0)
+    return out.withColumn("delta", sign * (F.col("same") - F.col("different")))
+
+
+def group_effects(deltas: DataFrame, *by: str) -> DataFrame:
+    """Over checkpoints: n, mean and median delta, how many are positive, zero and negative, and the least p that all sign flips can give."""
+    d = F.col("delta")
+    return deltas.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.count_if(d > 0).alias("positive"), F.count_if(d == 0).alias("zero"), F.count_if(d < 0).alias("negative"), F.pow(F.lit(2.0), -F.count(d)).alias("least_p"))
+
+
+def redrawn_rows(rows: DataFrame, repeats: int, seed: int, tag: str = "tag") -> DataFrame:
+    """(tag, side, rep, r): bin-wise medians of rows drawn again with replacement, ``repeats`` times, for sides 0 and 1.
+
+    ``rows``: (tag, side, item, embedding). A tag's draws come from one
+    generator, seeded by the tag, that serves side 0 and side 1 in turn. Work is
+    dealt out by bin: a task holds one bin of one tag and side, and replays
+    the tag's draws.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from loomvec.plans.tables import seed_of
+
+    long = rows.select(F.col(tag).cast("string").alias("tag"), "side", "item", F.posexplode("embedding").alias("bin", "v"))
+    bins = long.groupBy("tag", "side", "bin").agg(F.array_sort(F.collect_list(F.struct("item", F.col("v").cast("double").alias("v")))).alias("s")).select("tag", "side", "bin", F.col("s.v").alias("v"))
+    sizes = rows.groupBy(F.col(tag).cast("string").alias("tag")).agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where("n0 > 0 and n1 > 0")
+
+    def run(batches):
+        for records in batches:
+            tags, sides = records.column(0).to_pylist(), records.column(1).to_numpy()
+            made = np.empty((records.num_rows, repeats))
+            for name in dict.fromkeys(tags):  # rows come sorted by tag, so a tag's draws are replayed once for many of its bins
+                own = [i for i, t in enumerate(tags) if t == name]
+                n = [records.column(c)[own[0]].as_py() for c in (4, 5)]
+                values = {i: records.column(3)[i].values.to_numpy() for i in own}
+                rng = np.random.default_rng(seed_of("content_boot", name, seed))
+                at = [[i for i in own if sides[i] == side] for side in (0, 1)]
+                stacked = [np.stack([values[i] for i in rows]) if rows else None for rows in at]
+                for rep in range(repeats):
+                    draws = [rng.choice(k, size=k, replace=True) for k in n]
+                    for rows, block, picked in zip(at, stacked, draws, strict=True):
+                        if rows:
+                            made[rows, rep] = np.median(block[:, picked], axis=1)
+            yield pa.RecordBatch.from_arrays([*(records.column(i) for i in range(3)), pa.array(list(made), pa.list_(pa.float64()))], names=["tag", "side", "bin", "medians"])
+
+    drawn = bins.join(F.broadcast(sizes), "tag").select("tag", "side", "bin", "v", "n0", "n1").repartition("tag", "bin").sortWithinPartitions("tag").mapInArrow(run, "tag string, side int, bin int, medians array<double>")
+    return P.arrays(drawn.select("tag", "side", "bin", F.posexplode("medians").alias("rep", "v")), "tag", "side", "rep")
+
+
+def negative_pairs(pairs: DataFrame, spectra: DataFrame, partners: DataFrame, first: int, size: int, folds: int, seed: int) -> DataFrame:
+    """Per pair: its residual and the one against a wrong original, by size and by likeness to the cross-fitted prototype.
+
+    ``pairs``: (pair_id, original, generator, language, offset, r), ``spectra``:
+    (original, s), ``partners``: (original, partner). The wrong residual is the
+    pair's generated spectrum less the partner's, centred over the band. The
+    prototype is the median over the generator's and language's pairs outside
+    the original's fold; a pair without any is left out.
+    """
+    placed = pairs.withColumn("fold", (seed_hex16(F.lit("proto"), F.col("original"), F.lit(seed)) % folds).cast("int"))
+    others = placed.withColumn("outside", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold")))).select("generator", "language", F.col("outside").alias("fold"), "r")
+    proto = P.arrays(P.bin_medians(P.long_view(others, "r", "generator", "language", "fold"), "generator", "language", "fold"), "generator", "language", "fold").withColumnRenamed("r", "p")
+    own, other = spectra.select("original", F.col("s").alias("own")), spectra.select(F.col("original").alias("partner"), F.col("s").alias("other"))
+    joined = placed.join(partners, "original").join(own, "original").join(other, "partner").join(proto, ["generator", "language", "fold"])
+    raw = F.zip_with(F.transform("r", lambda x: x + F.col("offset")), F.zip_with("own", "other", lambda x, y: x - y), lambda x, y: x + y)
+    wrong = V.let(raw, lambda w: V.let(V.median(F.slice(w, first + 1, size)), lambda m: F.transform(w, lambda x: x - m)))
+    rms = lambda a: F.sqrt(V.dot(a, a) / F.size(a))
+    made = joined.withColumn("wrong", wrong)
+    return made.select("pair_id", "original", "generator", "language", "partner", rms(F.col("r")).alias("paired_rms"), rms(F.col("wrong")).alias("mismatched_rms"), V.pearson(F.col("r"), F.col("p")).alias("paired_corr"), V.pearson(F.col("wrong"), F.col("p")).alias("mismatched_corr"))
+
+
 def framed(df: DataFrame, signal: str, size: int, hop: int, *keys: str) -> DataFrame:
     """(keys, frame, x): whole frames of a signal array; a short signal is padded with zeros to one."""
     n = F.size(signal)

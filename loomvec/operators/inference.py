@@ -23,12 +23,19 @@ def holm(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
-    """False discovery rate within ``by``."""
-    group = Window.partitionBy(*by)
+    """False discovery rate within ``by``; null and NaN p-values stay null and don't count."""
+    good = F.col(p).isNotNull() & ~F.isnan(p)
+    group = Window.partitionBy(*by, good)
     rest = [c for c in df.columns if c != p]
     df = df.withColumn("_raw", F.col(p) * F.count("*").over(group) / F.row_number().over(group.orderBy(p, *rest)))
     down = group.orderBy(F.col(p).desc(), *[F.col(c).desc() for c in rest]).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw")
+    return df.withColumn(out, F.when(good, F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw")
+
+
+def valid_p(df: DataFrame, p: str) -> DataFrame:
+    """``df``; it fails when read if a p-value is null, NaN or outside 0..1."""
+    ok = F.col(p).isNotNull() & ~F.isnan(p) & F.col(p).between(0.0, 1.0)
+    return df.withColumn(p, F.when(ok, F.col(p)).otherwise(F.raise_error(F.concat(F.lit("not a p-value: "), F.coalesce(F.col(p).cast("string"), F.lit("null")))).cast("double")))
 
 
 def signflip_p(values: DataFrame, value: str, most: int = 20) -> DataFrame:
@@ -43,16 +50,42 @@ def signflip_p(values: DataFrame, value: str, most: int = 20) -> DataFrame:
 
 
 def wilcoxon(values: DataFrame, value: str, *by: str) -> DataFrame:
-    """Signed-rank sum by the normal approximation: n, w_plus, z (zeros dropped, ties averaged)."""
+    """Signed-rank sum: n, w_plus, z of the normal approximation (zeros dropped, ties averaged) and whether there are ties."""
     d = values.where(F.col(value) != 0).select(*by, F.col(value).alias("d"), F.abs(value).alias("a"))
     # Ranks by distinct size, so that a common difference is one row of the window.
     sizes = d.groupBy(*by, "a").agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
-    out = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    out = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.max(F.col("t") > 1).alias("tied"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0)
-    return out.select(*by, "n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / spread).alias("z"))
+    return out.select(*by, "n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / spread).alias("z"), "tied")
+
+
+def signflip_sampled(values: DataFrame, value: str, draws: DataFrame) -> DataFrame:
+    """(n, mean, p) by drawn sign vectors: ``draws`` (rep, signs) in the order of the values' rows in ``values`` (pos, value)."""
+    finite = values.where(F.col(value).isNotNull() & ~F.isnan(value))
+    packed = finite.agg(F.array_sort(F.collect_list(F.struct("pos", F.col(value).cast("double").alias("v")))).alias("s")).select(F.col("s.v").alias("v"), F.size("s").alias("n"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    both = draws.join(F.broadcast(packed)).select("n", (total(F.col("v")) / F.col("n")).alias("mean"), (total(F.zip_with("signs", "v", lambda s, x: s * x)) / F.col("n")).alias("draw"))
+    return both.groupBy("n", "mean").agg(upper_p(F.col("draw"), F.col("mean")).alias("p"))
+
+
+def wilcoxon_p(stats: DataFrame, n: str = "n", w: str = "w_plus", z: str = "z", tied: str = "tied", most: int = 50) -> DataFrame:
+    """``p`` (one-sided, greater) and ``method``: exact up to ``most`` differences without ties, else by the normal tail.
+
+    Exact: the number of subsets of the ranks 1..n by their sum is built rank
+    by rank inside the row.
+    """
+    small = (F.col(n) <= most) & ~F.col(tied)
+    size = F.when(small, F.col(n)).otherwise(F.lit(0)).cast("int")
+    top = (size * (size + 1) / 2).cast("int")
+    none = F.transform(F.sequence(F.lit(0), top), lambda i: F.when(i == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    grown = lambda counts, k: F.transform(counts, lambda x, i: x + F.when(i >= k, F.get(counts, i - k)).otherwise(F.lit(0).cast("long")))
+    ways = F.aggregate(F.filter(F.sequence(F.lit(0), size), lambda k: k > 0), none, grown)
+    above = F.aggregate(F.slice(ways, F.greatest(F.col(w).cast("int"), F.lit(0)) + 1, top + 1), F.lit(0).cast("long"), lambda s, x: s + x)
+    exact = above.cast("double") / F.pow(F.lit(2.0), size)
+    return stats.withColumn("p", F.when(small, exact).otherwise(normal_upper(F.col(z)))).withColumn("method", F.when(small, "exact").otherwise("normal"))
 
 
 def normal_upper(z: Column) -> Column:
@@ -101,3 +134,14 @@ def h4_verdict(delta: Column, p: dict[str, Column], alpha: float = 0.05) -> Colu
     for name in ("family_similarity", "multivariate_centroid", "logo_balanced_accuracy", "logo_macro_f1"):
         ok = ok & (p[name] < alpha)
     return F.when(ok, "SUPPORTED").otherwise("INSUFFICIENT_EVIDENCE")
+
+
+def h1_verdict(low: Column) -> Column:
+    """SUPPORTED if the interval lies above 0."""
+    return F.when(low > 0, "SUPPORTED").otherwise("INSUFFICIENT_EVIDENCE")
+
+
+def co_primary_verdict(shape: dict[str, Column], support: dict[str, Column], alpha: float = 0.05, partial: str = "SHAPE_SUPPORTED_FREQUENCY_INSUFFICIENT") -> Column:
+    """Both endpoints (mean, low, p) must have a positive mean, an interval above 0 and p at most ``alpha``; shape alone gives ``partial``."""
+    holds = lambda e: F.coalesce((e["mean"] > 0) & (e["low"] > 0) & (e["p"] <= alpha), F.lit(False))
+    return F.when(holds(shape) & holds(support), "SUPPORTED").when(holds(shape), partial).otherwise("INSUFFICIENT_EVIDENCE")

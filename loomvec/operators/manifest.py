@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from loomvec.functions.hashing import seed_hex16
 from loomvec.functions.text import append_reason, joined_set
 from loomvec.functions.vectors import is_finite
+from loomvec.session import materialize
 
 
 class GuardError(ValueError):
@@ -125,6 +126,7 @@ def hash_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     fake rows. Returns the table and the audit rows.
     """
     columns = df.columns
+    df = materialize(df, "hashed")  # the hashes are made once, not in every step
     ok = lambda t: t.where("qc_status = 'ok'")
     fake = hash_groups(ok(df), "fake_sha256", "original_id", "generator").where("n_original_ids > 1 or n_generators > 1")
     one = _fail(df, "fake_sha256", fake, "ambiguous_fake_hash_duplicate")
@@ -150,39 +152,61 @@ def eligibility(df: DataFrame, min_pairs: int = 30, min_generators: int = 3) ->
     return per, families.withColumn("eligible", F.col("n_generators") >= min_generators)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_rank`` from 0 in its group by a total ``order``, and ``_n``, the group's rows.
+
+    Rows are dealt out by ranges of group and order and numbered there; a
+    range's first number comes from the counts of the ranges before it. So a
+    group of any size is spread over tasks, and no task holds more than a range.
+    """
+    placed = materialize(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    key = F.struct(*[F.col(g) for g in group], F.lit(0).alias("_"))
+    counts = placed.groupBy(key.alias("_key"), "_part").agg(F.count("*").alias("_rows"))
+    line = Window.partitionBy("_key").orderBy("_part")
+    before = F.coalesce(F.sum("_rows").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_key", F.col("_part").alias("_p"), before.alias("_from"), F.sum("_rows").over(Window.partitionBy("_key")).alias("_n"))
+    inner = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1
+    numbered = placed.withColumn("_inner", inner).join(counts, key.eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return numbered.withColumn("_rank", F.col("_inner") + F.col("_from")).drop("_inner", "_from", "_key", "_part", "_p")
+
+
+def _partners(placed: DataFrame, item: str, group: list[str], shift: Column) -> DataFrame:
+    """(group, item, partner): the item ``shift`` places on in its group, around its end."""
+    key = lambda x: F.struct(*[F.col(g) for g in group], x)
+    to = placed.select(key(F.col("_rank")).alias("_to"), F.col(item).alias("partner"))
+    wanted = placed.withColumn("_at", key(((F.col("_rank") + shift) % F.col("_n")).alias("_rank")))
+    return wanted.join(to, F.col("_at").eqNullSafe(F.col("_to"))).select(*group, item, "partner")
+
+
 def rotated(df: DataFrame, item: str, *group: str) -> DataFrame:
     """(group, item, partner): the next item of the group in order, the last wraps around."""
-    ids = df.select(*group, item).distinct()
-    by, line = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(item)
-    return ids.withColumn("partner", F.coalesce(F.lead(item).over(line), F.min(item).over(by)))
+    return _partners(ranked(df.select(*group, item).distinct(), list(group), [item]), item, list(group), F.lit(1))
 
 
 def mismatch(df: DataFrame, original: str, speaker: str) -> DataFrame:
-    """(original, partner) within the speaker; where that is the original itself, the next one overall.
-
-    The overall order is taken from ids alone, through ranges of ids, so no
-    task holds all originals.
-    """
+    """(original, speaker, partner) within the speaker; where that is the original itself, the next one overall."""
     own = rotated(df, original, speaker)
-    ids = df.select(original).distinct()
-    alone = own.where(F.col("partner") == F.col(original)).select(original)
-    first = ids.agg(F.min(original).alias("_first"))
-    # The next id overall is needed for lonely ones only.
-    later = alone.join(ids.select(F.col(original).alias("_other")), F.col("_other") > F.col(original), "left").groupBy(original).agg(F.min("_other").alias("_next"))
-    later = later.crossJoin(F.broadcast(first)).select(original, F.coalesce("_next", "_first").alias("_wrap"))
-    joined = own.join(later, original, "left")
-    return joined.select(original, speaker, F.coalesce("_wrap", "partner").alias("partner"))
+    overall = rotated(df.select(original), original).withColumnRenamed("partner", "_wrap")
+    return own.join(overall, original).select(original, speaker, F.when(F.col("partner") == F.col(original), F.col("_wrap")).otherwise(F.col("partner")).alias("partner"))
 
 
 def hashed_rotation(df: DataFrame, item: str, label: str, *group: str) -> DataFrame:
     """(group, item, partner) by a shift of 1 + hash mod (n - 1) within the group; groups of one give none."""
-    ids = df.select(*group, item).distinct()
-    by, line = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(item)
-    placed = ids.withColumn("_i", F.row_number().over(line) - 1).withColumn("_n", F.count("*").over(by)).where("_n > 1")
-    placed = placed.withColumn("_shift", 1 + seed_hex16(F.lit(label), *[F.col(g) for g in group]) % (F.col("_n") - 1))
-    to = placed.select(*group, F.col(item).alias("partner"), F.col("_i").alias("_j"))
-    wanted = placed.withColumn("_j", ((F.col("_i") + F.col("_shift")) % F.col("_n")).cast("int"))
-    return wanted.join(to, [*group, "_j"]).select(*group, item, "partner")
+    placed = ranked(df.select(*group, item).distinct(), list(group), [item]).where("_n > 1")
+    return _partners(placed, item, list(group), 1 + seed_hex16(F.lit(label), *[F.col(g) for g in group]) % (F.col("_n") - 1))
+
+
+def same_language_partner(df: DataFrame, original: str, language: str, speaker: str) -> DataFrame:
+    """(original, partner, rule): a hashed shift within language and speaker, else within the language; an original alone in its language fails.
+
+    One speaker's originals never meet themselves; an unknown speaker counts as a speaker.
+    """
+    named = df.select(original, language, F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias(speaker)).distinct()
+    close = hashed_rotation(named, original, "mismatch", language, speaker).select(original, "partner")
+    far = hashed_rotation(named, original, "mismatch_lang", language).select(original, F.col("partner").alias("_far"))
+    both = named.select(original).distinct().join(close, original, "left").join(far, original, "left")
+    found = F.coalesce("partner", "_far", F.raise_error(F.concat(F.lit("no partner of its language for "), F.col(original).cast("string"))).cast(dict(df.dtypes)[original]))
+    return both.select(original, found.alias("_found"), F.when(F.col("partner").isNotNull(), "same_language_same_speaker").otherwise("same_language").alias("rule")).withColumnRenamed("_found", "partner")
 
 
 def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -208,8 +232,8 @@ def last_wins(df: DataFrame, order: list[str], *keys: str) -> DataFrame:
 
 def blocks_by_rank(df: DataFrame, item: str, token: Column, n: int, *group: str) -> DataFrame:
     """Content block of each item: rank of its token's hash within the group, modulo n."""
-    line = Window.partitionBy(*group).orderBy(token, item)
-    return df.select(*group, item).distinct().withColumn("block", (F.row_number().over(line) - 1) % n)
+    items = df.select(*group, item).distinct().withColumn("_token", token)
+    return ranked(items, list(group), ["_token", item]).select(*group, item, (F.col("_rank") % n).cast("int").alias("block"))
 
 
 def blocks_by_hash(df: DataFrame, item: str, label: str, n: int) -> DataFrame:

@@ -47,16 +47,28 @@ def band_stats(long: DataFrame, hz: Column, *keys: str) -> DataFrame:
     return long.groupBy(*keys).agg(mean(0, 1000).alias("lf_mean"), mean(1000, 4000).alias("mf_mean"), mean(4000, 8001).alias("hf_mean"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("residual_l2"))
 
 
-def language_reference(cells: DataFrame, least: int = 2) -> DataFrame:
+def language_reference(cells: DataFrame, least: int = 2, short: str = "drop") -> DataFrame:
     """Cross-fitted reference of every cell: the median over other generators of its language.
 
-    Only languages with at least ``least`` other generators have one; rows are
-    (generator, language, bin, ref, n_reference).
+    Rows are (generator, language, bin, ref, n_reference). Cells with fewer
+    than ``least`` other generators are left out (``short`` "drop"), make the
+    table fail when it is read ("raise"), or take the median over all other
+    generators' cells of any language ("global").
     """
     other = cells.select(F.col("generator").alias("og"), "language", "bin", F.col("v").alias("ov"))
     joined = cells.join(other, ["language", "bin"]).where("og <> generator")
     found = joined.groupBy("generator", "language", "bin").agg(F.median("ov").alias("ref"), F.count_distinct("og").alias("n_reference"))
-    return found.where(F.col("n_reference") >= least)
+    if short == "drop":
+        return found.where(F.col("n_reference") >= least)
+    every = cells.select("generator", "language", "bin").distinct().join(found, ["generator", "language", "bin"], "left").na.fill(0, ["n_reference"])
+    enough = F.col("n_reference") >= least
+    if short == "raise":
+        why = F.concat(F.lit("too few other generators for "), F.col("generator").cast("string"), F.lit(" in "), F.col("language").cast("string"))
+        return every.withColumn("ref", F.when(enough, F.col("ref")).otherwise(F.raise_error(why).cast("double")))
+    if short != "global":
+        raise ValueError(f"short is drop, raise or global, not {short}")
+    whole = cells.select(F.col("generator"), "bin").distinct().join(other.select("og", "bin", "ov"), "bin").where("og <> generator").groupBy("generator", "bin").agg(F.median("ov").alias("_all"))
+    return every.join(whole, ["generator", "bin"], "left").withColumn("ref", F.when(enough, F.col("ref")).otherwise(F.col("_all"))).drop("_all").select("generator", "language", "bin", "ref", "n_reference")
 
 
 def adjusted(cells: DataFrame, least: int = 2) -> DataFrame:

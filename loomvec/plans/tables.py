@@ -54,6 +54,31 @@ def block_draws(spark: SparkSession, sizes: list[int], repeats: int, seeds: list
     return _table(spark, {"n_blocks": np.array(n), "rep": np.array(rep), "items": _lists(items)})
 
 
+def sign_draws(spark: SparkSession, n: int, repeats: int, seed: int) -> DataFrame:
+    """(rep, signs): drawn sign vectors of length ``n``, one call of the generator each."""
+    rng = np.random.default_rng(seed)
+    signs = [rng.choice([-1.0, 1.0], size=n).astype(np.int32) for _ in range(repeats)]
+    return _table(spark, {"rep": np.arange(repeats), "signs": _lists(signs)})
+
+
+def capped_draw(spark: SparkSession, groups: dict, cap: int, n: int, seed: int) -> DataFrame:
+    """(pos, item): ``n`` items drawn from up to ``cap`` of each group, or from all where these are fewer than ``n``.
+
+    Groups are taken in order; one generator (seed + 17) draws inside each and
+    then among the candidates.
+    """
+    rng = np.random.default_rng(seed + 17)
+    kept, whole = [], [x for name in sorted(groups) for x in groups[name]]
+    for name in sorted(groups):
+        items = groups[name]
+        kept += [items[i] for i in rng.choice(len(items), size=min(cap, len(items)), replace=False)]
+    pool = kept if len(kept) >= n else whole
+    if len(pool) < n:
+        raise ValueError(f"{len(pool)} items; {n} are to be drawn")
+    chosen = [pool[i] for i in rng.choice(len(pool), size=n, replace=False)]
+    return _table(spark, {"pos": np.arange(n), "item": np.array(chosen)})
+
+
 def stratified_bootstraps(spark: SparkSession, groups: dict, repeats: int, seed: int) -> DataFrame:
     """(rep, pos, item, stratum): draws with replacement within each stratum."""
     rng = np.random.default_rng(seed)

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from loomvec.functions.text import parse_bool
 from loomvec.operators.manifest import GuardError, require_columns
 
+#: Rows of a matrix in one batch.
+ROWS = 1024
 #: Columns of a headerless meta file, in order (fixed values).
 META = ("path", "original_file", "language", "is_original_language", "duration", "training_data", "model_name", "architecture", "transcript")
 
@@ -92,31 +95,75 @@ def from_path(path: Column, position: int) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(position))
 
 
-def npy(spark: SparkSession, path: str) -> DataFrame:
-    """(row, r): rows of a 2-D ``.npy`` file of one driver-sized matrix."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    matrix = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
-    if matrix.ndim != 2:
-        raise GuardError("not a matrix")
-    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(matrix)], "row long, r array<double>")
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the files of a glob, one file to a task at a time."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def npy(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
+    """(path, row, r): rows of the 2-D ``.npy`` files of a glob, read on the executors; with ``rows`` (row) only those."""
+
+    def run(batches):
+        for records in batches:
+            for name, raw in zip(records.column(0), records.column(1), strict=True):
+                matrix = np.load(io.BytesIO(raw.as_py()), allow_pickle=False)
+                if matrix.ndim != 2:
+                    raise GuardError("not a matrix")
+                for start in range(0, len(matrix), ROWS):
+                    part = np.ascontiguousarray(matrix[start : start + ROWS], np.float64)
+                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(np.arange(start, start + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], names=["path", "row", "r"])
+
+    found = _contents(spark, path).mapInArrow(run, "path string, row long, r array<double>")
+    return found.join(rows.select(F.col("row").cast("long")).distinct(), "row", "left_semi") if rows is not None else found
 
 
 def block_npz(spark: SparkSession, path: str) -> DataFrame:
-    """(generator, block, n, r): the block tensor of a ``.npz`` file; blocks without rows are left out."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as z:
-        ids, blocks, vectors, counts = (z[k] for k in ("generator_ids", "block_ids", "block_vectors", "block_counts"))
-    rows = [(str(g), int(b), int(counts[i, j]), [float(x) for x in vectors[i, j]]) for i, g in enumerate(ids) for j, b in enumerate(blocks) if counts[i, j] > 0]
-    return spark.createDataFrame(rows, "generator string, block int, n int, r array<double>")
-
-
-def zip_member(path: str, suffix: str) -> bytes:
-    """The only member of an archive whose name ends so."""
-    with zipfile.ZipFile(path) as z:
-        names = [n for n in z.namelist() if n.endswith(suffix)]
-        if len(names) != 1:
-            raise GuardError(f"{len(names)} members end with {suffix}")
-        return z.read(names[0])
+    """(generator, block, n, r): the block tensors of ``.npz`` files, read on the executors; blocks without rows are left out."""
+
+    def run(batches):
+        for records in batches:
+            for raw in records.column(1):
+                with np.load(io.BytesIO(raw.as_py()), allow_pickle=False) as z:
+                    ids, blocks, vectors, counts = (z[k] for k in ("generator_ids", "block_ids", "block_vectors", "block_counts"))
+                i, j = np.nonzero(counts > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in ids[i]]), pa.array(blocks[j].astype(np.int32)), pa.array(counts[i, j].astype(np.int32)), pa.array([x.astype(np.float64) for x in vectors[i, j]], pa.list_(pa.float64()))], names=["generator", "block", "n", "r"])
+
+    return _contents(spark, path).mapInArrow(run, "generator string, block int, n int, r array<double>")
+
+
+def zip_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path, member, content): of each archive of a glob, on the executors, the only member whose name ends so."""
+
+    def run(batches):
+        for records in batches:
+            for name, raw in zip(records.column(0), records.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
+                    found = [n for n in z.namelist() if n.endswith(suffix)]
+                    if len(found) != 1:
+                        raise GuardError(f"{len(found)} members of {name.as_py()} end with {suffix}")
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array(found), pa.array([z.read(found[0])], pa.binary())], names=["path", "member", "content"])
+
+    return _contents(spark, path).mapInArrow(run, "path string, member string, content binary")
+
+
+def zip_member(spark: SparkSession, path: str, suffix: str) -> bytes:
+    """The only member of one archive whose name ends so."""
+    return bytes(zip_members(spark, path, suffix).first()["content"])
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of the files of a glob, hashed where they are read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def input_signature(spark: SparkSession, path: str) -> str:
+    """Digest of names, sizes and times of the files of a glob, in order; contents aren't read. A resumed run compares it."""
+    from loomvec.sources.sinks import config_digest
+
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", F.unix_millis("modificationTime").alias("time"))
+    return config_digest([list(r) for r in listed.orderBy("path").collect()])
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str:

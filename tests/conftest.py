@@ -10,7 +10,7 @@ from loomvec.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("tests", cores="4")
+    session = get_session("tests", cores=os.environ.get("TEST_CORES", "4"))
     session.sparkContext.setLogLevel("ERROR")
     return session
 

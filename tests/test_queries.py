@@ -1,6 +1,6 @@
 import pytest
 
-from loomvec import queries, queries_manifest, queries_more  # noqa: F401
+from loomvec import queries, queries_checks, queries_manifest, queries_more  # noqa: F401
 from tests.oracle import assert_same, connect
 
 
