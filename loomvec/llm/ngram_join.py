@@ -54,7 +54,9 @@ SMALL, MOST_PAIRS = 4, 1 << 21
 #: Times that groups beyond that are dealt out again; what is larger still is compared in blocks all the same.
 LEVELS = 2
 #: Signatures of a batch that are sorted and sent together.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
+#: Packed rows, or texts, of an Arrow batch where signatures are made and meet.
+PARCELS = 64
 #: Ids, and bytes of arrays, that are broadcast at most; beyond that a shuffle join is used.
 BROADCAST_IDS, BROADCAST_BYTES = 1 << 21, 32 << 20
 SEED = 11
@@ -283,17 +285,12 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         steady_memory()
-        parcels: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for records in batches:
-            for part, packed in zip(records.column(0).to_pylist(), records.column(1), strict=True):
-                raw = packed.as_buffer()
-                n, s = np.frombuffer(raw, np.int64, 2)
-                body = np.frombuffer(raw, np.int64, offset=16)
-                parcels.setdefault(part, []).append((body[:n].view(np.uint64), body[n : 2 * n], body[2 * n :].reshape(3, s)))
-        for got in parcels.values():
-            sig, doc = _in_order(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+        held, of = [], None
+
+        def met():
+            sig, doc = _in_order(np.concatenate([g[0] for g in held]), np.concatenate([g[1] for g in held]))
             a, b, star_sig, leader, member = split_groups(sig, doc)
-            stars = np.concatenate([g[2] for g in got], axis=1)
+            stars = np.concatenate([g[2] for g in held], axis=1)
             if stars.shape[1]:  # stars of batches get the group's smallest as their leader too, through their own
                 starts, _ = groups(sig)
                 where = starts[np.searchsorted(sig[starts], stars[0].view(np.uint64))]
@@ -304,7 +301,19 @@ def _meet(sent: DataFrame, parts: int) -> DataFrame:
                 yield _found(PAIR, pairs[0], pairs[1], pairs[0] * 0)
             yield _found(STAR, leader, member, star_sig)
 
-    return sent.repartition("part").mapInArrow(run, FOUND)
+        for records in batches:  # sorted by part, so one part is held at a time
+            for part, packed in zip(records.column(0).to_pylist(), records.column(1), strict=True):
+                if held and part != of:
+                    yield from met()
+                    held = []
+                raw, of = np.frombuffer(packed.as_buffer(), np.uint8).copy(), part
+                n, s = raw[:16].view(np.int64)
+                body = raw[16:].view(np.int64)
+                held.append((body[:n].view(np.uint64), body[n : 2 * n], body[2 * n :].reshape(3, s)))
+        if held:
+            yield from met()
+
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
 #: Cells of a set's sketch.
@@ -361,8 +370,9 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` by a join with ``ids`` (id, ...), broadcast only while those are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("id"), how)
+    """``docs`` by a semi or anti join with ``ids`` (id), broadcast only while those are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.alias("d").join((F.broadcast(ids) if few else ids).alias("i"), F.col("d.doc_id") == F.col("i.id"), how)
 
 
 def _plausible(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -603,8 +613,10 @@ def _components(docs: DataFrame, spread: float, most: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(set_digests(docs), "sets")
     usable = base.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
-    equal = materialize(usable.join(classes, ["lo", "hi"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "equal", small=True)
+    classes = usable.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("lo", "hi", "rep")
+    # From a table of their own, so that the planner can split a set that very many documents have.
+    classes = materialize(classes, "classes", small=True)
+    equal = materialize(usable.select("doc_id", "lo", "hi").join(classes, ["lo", "hi"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "equal", small=True)
     known = docs.where("doc_id is not null")
     work = _only(known, equal.select(F.col("doc_id").alias("id")).distinct(), "left_anti")
     twice = usable.select("doc_id", "lo", "hi").distinct().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
@@ -612,7 +624,8 @@ def _components(docs: DataFrame, spread: float, most: int) -> DataFrame:
     if several:  # ids of several texts: none of these may be left out
         work = work.unionByName(_only(known, twice, "left_semi")).distinct()
     parts = 1 << max(3, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    found = materialize(_meet(_send(work, parts, spread), parts), "found")
+    with small_batches(spark, PARCELS):
+        found = materialize(_meet(_send(work, parts, spread), parts), "found")
     merged = None
     for level in range(LEVELS + 1):
         merged = _with_links(merged, _connecting(known, _plausible(base, found.where("a <> b").select("a", "b").distinct()), f"verify-{level}"))
@@ -674,11 +687,17 @@ def _relabelled(members: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` without those that have a smaller id in their component, and one row for each id."""
+    """``docs`` without those that have a smaller id in their component, and one row for each id.
+
+    Of rows with one id that of the first text stays, by code point, null
+    first. Rows without an id stay. All columns are kept, whatever their names.
+    """
     gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone", small=True)
     kept = _only(docs, gone, "left_anti")
     again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     if again.limit(1).count():
-        once = _only(kept, again, "left_semi").dropDuplicates(["doc_id"])
+        rows = _only(kept, again, "left_semi").select("doc_id", F.struct("*").alias("row"))
+        first = F.struct(F.coalesce("row.text", F.lit("")), F.to_json("row"))
+        once = rows.groupBy("doc_id").agg(F.min_by("row", first).alias("row")).select("row.*")
         kept = _only(kept, again, "left_anti").unionByName(once)
     return kept

@@ -94,6 +94,7 @@ def test_defined_cases(spark):
 
 
 def test_one_of_each_group(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d"), (3, "d"), (4, None)], SCHEMA)
+    docs = spark.createDataFrame([(1, "a b c", "x", 1), (2, "a b c", "x", 2), (3, "d", "y", 3), (3, "c d", "z", 4), (4, None, None, 5), (None, "a b c", None, 6)], SCHEMA + ", id string, component_id int")
     kept = ngram_join.one_of_each_group(docs, ngram_join.jaccard_components(docs))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.id, r.component_id) for r in kept.collect()) == [(0, None, 6), (1, "x", 1), (3, "z", 4), (4, None, 5)]
