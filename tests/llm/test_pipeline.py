@@ -2,6 +2,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 from loomvec.llm import langid, mixing
+from loomvec.session import materialize
 from tests.llm import test_linededup, test_mixing
 from tests.llm.brute import jaccard_groups
 
@@ -57,9 +58,20 @@ def test_empty_table(spark, sf_dir):
 
 
 def test_nulls_and_clashing_names(spark, sf_dir):
-    docs = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, "the house of the man and the cat is here today", "en", None, None, "x"), (3, "the house of the man and the cat is here today", "en", None, None, "x"), (None, "other words for a text without any id at all", "en", "s", 3, "x")], "doc_id long, text string, lang string, source string, n_chars long, copies string")
-    for name, stage in pipeline.STAGES[1:]:
-        docs = stage(spark, docs, sf_dir)
-        if name == "near_duplicates":
-            assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 2, 3]
-    assert docs.count() >= 1
+    words = {"en": "the house of the man and the cat is here today", "de": "das haus und der hund ist nicht auf dem berg"}
+    rows = [(i, f"{words[k]} {' '.join(words[k].split()[i % 5 :])} n{i}x{i}", k, "s", 0, "x", "y") for i in range(100, 160) for k in [("en", "de")[i % 2]]]
+    odd = [(1, None, None, None, None, "x", "y"), (2, "", "en", "s", 0, "x", "y"), (3, words["en"], "en", None, None, "x", "y"), (3, words["en"], "en", None, None, "x", "y"), (None, f"{words['de']} und das war es", None, "s", 3, "x", "y"), (4, "12 !! 34", "en", "s", None, "x", "y")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long, copies string, id string")
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        seen[name] = ids(docs)
+        if name != "pack":
+            assert docs.columns == pipeline.COLUMNS
+    plain = Counter({i: 1 for i in range(100, 160)})
+    assert seen["language_id"] == plain + Counter({3: 2, None: 1})  # no letter, no language
+    assert seen["line_dedup"] == seen["language_id"]
+    assert seen["near_duplicates"][3] == 1 and seen["near_duplicates"][None] == 1 and set(seen["near_duplicates"]) <= set(seen["line_dedup"])
+    assert set(seen["mix"]) <= set(seen["near_duplicates"]) and max(seen["mix"].values()) <= 2
+    assert set(seen["pack"]) == set(seen["mix"])
