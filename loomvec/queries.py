@@ -231,12 +231,15 @@ def wasserstein_axis(spark, sf_dir):
     return x.select("generator_a", "generator_b", F.round(V.wasserstein(F.col("r_a"), F.col("r_b"), hz), 4).alias("wasserstein_hz"))
 
 
-@query("select 'zero' as case_name, null::double as as_null, 0.0::double as as_zero union all select 'constant', null, 0.0")
+@query(f"""with {LONG}, d as (select vec_id, vec_id % 3 as kind, case vec_id % 3 when 0 then 0 when 1 then 2 else v end as a, v as b from long),
+  s as (select vec_id, sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0) as cosine, case when any_value(kind) < 2 then null else corr(a, b) end as pearson from d group by vec_id)
+  select vec_id, round(cosine, 6) as cosine, round(coalesce(cosine, 0), 6) as cosine_zero, round(pearson, 6) as pearson, round(coalesce(pearson, 0), 6) as pearson_zero from s""")
 def degenerate_similarity(spark, sf_dir):
-    rows = spark.createDataFrame([("zero", [0.0, 0.0, 0.0], [1.0, 2.0, 3.0]), ("constant", [2.0, 2.0, 2.0], [1.0, 2.0, 3.0])], "case_name string, a array<double>, b array<double>")
+    """Vectors against themselves, a third of them made zero and a third constant: null or 0 where a norm or spread is 0."""
+    kind = F.col("vec_id") % 3
+    x = vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda v: F.when(kind == 0, 0.0).when(kind == 1, 2.0).otherwise(v.cast("double"))).alias("a"), F.transform("embedding", lambda v: v.cast("double")).alias("b"))
     a, b = F.col("a"), F.col("b")
-    pick = lambda x: F.when(F.col("case_name") == "zero", V.cosine(a, b, x)).otherwise(V.pearson(a, b, x))
-    return rows.select("case_name", pick(None).alias("as_null"), pick(0.0).alias("as_zero"))
+    return x.select("vec_id", r6(V.cosine(a, b), "cosine"), r6(V.cosine(a, b, 0.0), "cosine_zero"), r6(V.pearson(a, b), "pearson"), r6(V.pearson(a, b, 0.0), "pearson_zero"))
 
 
 # -- language persistence (H2) -----------------------------------------------------------
@@ -387,30 +390,33 @@ def logo_metrics(spark, sf_dir):
     return x.select("n", r6("accuracy"), r6("balanced_accuracy"), r6("macro_f1"))
 
 
-@query(f"""with {PAIRS}, g as (select row_number() over (order by generator) - 1 as i, generator, family from (select distinct generator, family from prof)),
-  subs as (select m.mask, g.generator from range(1024) m(mask), g where (m.mask >> g.i) & 1 = 1),
-  three as (select mask from subs group by mask having count(*) = 3),
-  s as (select mask, generator from subs join three using (mask)),
-  d as (select t.mask, avg(cosine) filter (a.generator is not null and b.generator is not null) as inside, avg(cosine) filter ((a.generator is null) <> (b.generator is null)) as outside
-    from three t cross join cosines c left join s a on a.mask = t.mask and a.generator = generator_a left join s b on b.mask = t.mask and b.generator = generator_b group by 1),
-  obs as (select avg(cosine) filter (family_a = 0 and family_b = 0) - avg(cosine) filter (family_a <> family_b and 0 in (family_a, family_b)) as observed from cosines)
-  select count(*) as n_subsets, round(observed, 6) as observed, round((1 + count(*) filter (inside - outside >= observed - 1e-9)) / (count(*) + 1.0), 6) as p from d, obs group by observed""")
+@query(f"""with {PAIRS}, g as (select row_number() over (order by generator) - 1 as i, generator, family from (select distinct generator, family from prof)), n as (select count(*)::int as n from g), f as (select family, count(*) as size from g group by 1),
+  subs as (select m.mask, g.generator from n, lateral (select unnest(range((1 << n.n)::bigint)) as mask) m, g where (m.mask >> g.i) & 1 = 1), sized as (select mask, count(*) as size from subs group by 1),
+  d as (select t.mask, t.size, avg(cosine) filter (a.generator is not null and b.generator is not null) as inside, avg(cosine) filter ((a.generator is null) <> (b.generator is null)) as outside
+    from (select * from sized where size in (select size from f)) t cross join cosines c left join subs a on a.mask = t.mask and a.generator = generator_a left join subs b on b.mask = t.mask and b.generator = generator_b group by 1, 2),
+  obs as (select f.family, f.size, avg(cosine) filter (family_a = f.family and family_b = f.family) - avg(cosine) filter (family_a <> family_b and f.family in (family_a, family_b)) as observed from f, cosines group by 1, 2)
+  select family, count(*) as n_subsets, round(observed, 6) as observed, round((1 + count(*) filter (inside - outside >= observed - 1e-9)) / (count(*) + 1.0), 6) as p from obs join d using (size) group by family, observed""")
 def exact_subset_null(spark, sf_dir):
-    """All subsets of family 0's size, or 10,000 where they are too many: how often their contrast reaches the family's own."""
+    """Each family against all subsets of its size, or 10,000 where they are too many: how often their contrast reaches its own."""
     from loomvec.plans import tables
+    from loomvec.session import materialize
 
-    table = similarity(spark, sf_dir)
+    table = materialize(similarity(spark, sf_dir), "pair-table", small=True)
     found = generator_profiles(spark, sf_dir).select("generator", "family").orderBy("generator").collect()
-    items, size = [r["generator"] for r in found], sum(r["family"] == 0 for r in found)
-    plan = tables.subsets(spark, items, size, 10_000, 1).withColumnRenamed("rep", "mask")
-    reps = plan.select("mask").distinct()
-    a = plan.select("mask", F.col("item").cast("int").alias("generator_a"), F.lit(True).alias("ia"))
-    b = plan.select("mask", F.col("item").cast("int").alias("generator_b"), F.lit(True).alias("ib"))
-    crossed = table.join(F.broadcast(reps)).join(F.broadcast(a), ["mask", "generator_a"], "left").join(F.broadcast(b), ["mask", "generator_b"], "left").na.fill(False, ["ia", "ib"])
-    draws = crossed.groupBy("mask").agg((F.avg(F.when(F.col("ia") & F.col("ib"), F.col("cosine"))) - F.avg(F.when(F.col("ia") != F.col("ib"), F.col("cosine")))).alias("d"))
-    observed = A.within_outside(table).where("family = 0").select(F.col("delta").alias("observed"))
-    joined = draws.join(F.broadcast(observed))
-    return joined.groupBy("observed").agg(F.count("*").alias("n_subsets"), r6((1 + F.count_if(F.col("d") >= F.col("observed") - 1e-9)) / (F.count("*") + 1), "p")).select("n_subsets", r6("observed"), "p")
+    items, sizes = [r["generator"] for r in found], sorted({sum(x["family"] == r["family"] for x in found) for r in found})
+    plans = [tables.subsets(spark, items, size, 10_000, 1).withColumnRenamed("rep", "mask").withColumn("size", F.lit(size)) for size in sizes]
+    plan = plans[0]
+    for more in plans[1:]:
+        plan = plan.unionByName(more)
+    reps = plan.select("size", "mask").distinct()
+    a = plan.select("size", "mask", F.col("item").cast("int").alias("generator_a"), F.lit(True).alias("ia"))
+    b = plan.select("size", "mask", F.col("item").cast("int").alias("generator_b"), F.lit(True).alias("ib"))
+    crossed = table.join(F.broadcast(reps)).join(F.broadcast(a), ["size", "mask", "generator_a"], "left").join(F.broadcast(b), ["size", "mask", "generator_b"], "left").na.fill(False, ["ia", "ib"])
+    draws = crossed.groupBy("size", "mask").agg((F.avg(F.when(F.col("ia") & F.col("ib"), F.col("cosine"))) - F.avg(F.when(F.col("ia") != F.col("ib"), F.col("cosine")))).alias("d"))
+    families = spark.createDataFrame([(f, sum(r["family"] == f for r in found)) for f in sorted({r["family"] for r in found})], "family int, size int")
+    observed = A.within_outside(table).select("family", F.col("delta").alias("observed")).join(families, "family")
+    joined = draws.join(F.broadcast(observed), "size")
+    return joined.groupBy("family", "observed").agg(F.count("*").alias("n_subsets"), r6((1 + F.count_if(F.col("d") >= F.col("observed") - 1e-9)) / (F.count("*") + 1), "p")).select("family", "n_subsets", r6("observed"), "p")
 
 
 @query()
@@ -575,9 +581,12 @@ def wilcoxon_ranks(spark, sf_dir):
     return I.wilcoxon(d, "d", "grp").select("grp", "n", F.col("w_plus").cast("double").alias("w_plus"), F.round("z", 5).alias("z"))
 
 
-@query("select x / 10.0::double as z, round(p, 6) as p from (values (-10, 0.8413447460685429), (0, 0.5), (10, 0.15865525393145707), (20, 0.022750131948179195), (40, 3.167124183311986e-05)) t(x, p)")
+@query("""with z as (select distinct (p_size * 3 + p_partkey % 7) / 20.0 - 4 as z from part)
+  select z, round(0.5 - sum(exp(-pow(z * (k + 0.5) / 4000, 2) / 2) * z / 4000) / sqrt(2 * pi()), 6) + 0.0 as p from z, (select unnest(range(4000)) as k) group by z""")
 def normal_tail(spark, sf_dir):
-    return spark.createDataFrame([(-1.0,), (0.0,), (1.0,), (2.0,), (4.0,)], "z double").select("z", r6(I.normal_upper(F.col("z")), "p"))
+    """Upper tail of the standard normal over a range of values; the SQL integrates."""
+    part = read_table(spark, sf_dir, "part")
+    return part.select(((F.col("p_size") * 3 + F.col("p_partkey") % 7) / 20.0 - 4).alias("z")).distinct().select("z", r6(I.normal_upper(F.col("z")), "p"))
 
 
 @query("""select l_returnflag as grp, round(quantile_cont(l_quantity, 0.025), 6) as low, round(quantile_cont(l_quantity, 0.975), 6) as high, round(avg(l_quantity), 6) as mean, round(median(l_quantity), 6) as med, round(stddev_samp(l_quantity), 6) as sd from lineitem group by all""")
@@ -587,12 +596,15 @@ def quantile_interval(spark, sf_dir):
     return x.agg(r6(F.percentile(q, 0.025), "low"), r6(F.percentile(q, 0.975), "high"), r6(F.avg(q), "mean"), r6(F.median(q), "med"), r6(F.stddev_samp(q), "sd"))
 
 
-@query("""select * from (values ('all_pass', 'SUPPORTED'), ('dispersed', 'INSUFFICIENT_EVIDENCE'), ('negative', 'INSUFFICIENT_EVIDENCE'), ('published', 'INSUFFICIENT_EVIDENCE')) t(case_name, verdict)""")
+@query("""with e as (select l_suppkey % 60 as item, l_returnflag as grp, avg(l_discount) - 0.0499 as delta, min(l_tax) as p1, min(l_discount) * 4 as p2, max(l_tax) as p3, (l_suppkey % 60) / 1000.0 as p4, avg(l_tax) as p5 from lineitem group by all)
+  select item, grp, case when delta > 0 and p3 >= 0.05 and p1 < 0.05 and p2 < 0.05 and p4 < 0.05 and p5 < 0.05 then 'SUPPORTED' else 'INSUFFICIENT_EVIDENCE' end as verdict from e""")
 def h4_decision(spark, sf_dir):
-    names = ["family_similarity", "multivariate_centroid", "dispersion", "logo_balanced_accuracy", "logo_macro_f1"]
-    rows = [("all_pass", 0.1, 0.01, 0.01, 0.5, 0.01, 0.01), ("dispersed", 0.1, 0.01, 0.01, 0.01, 0.01, 0.01), ("negative", -0.1, 0.01, 0.01, 0.5, 0.01, 0.01), ("published", 0.044275, 0.0952, 0.0952, 0.0090, 0.0120, 0.0270)]
-    df = spark.createDataFrame(rows, ["case_name", "delta", *names])
-    return df.select("case_name", I.h4_verdict(F.col("delta"), {n: F.col(n) for n in names}).alias("verdict"))
+    """The conjunctive rule over many tables of evidence."""
+    item = F.col("l_suppkey") % 60
+    e = read_table(spark, sf_dir, "lineitem").groupBy(item.alias("item"), F.col("l_returnflag").alias("grp")).agg((F.avg("l_discount") - 0.0499).alias("delta"), F.min("l_tax").alias("p1"), (F.min("l_discount") * 4).alias("p2"), F.max("l_tax").alias("p3"), F.avg("l_tax").alias("p5"))
+    e = e.withColumn("p4", F.col("item") / 1000.0)
+    names = ("family_similarity", "multivariate_centroid", "dispersion", "logo_balanced_accuracy", "logo_macro_f1")
+    return e.select("item", "grp", I.h4_verdict(F.col("delta"), {n: F.col(f"p{k}") for k, n in enumerate(names, 1)}).alias("verdict"))
 
 
 # -- hashes, labels, paths ---------------------------------------------------------------------
@@ -638,16 +650,31 @@ def bool_parse(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).withColumn("parsed", T.parse_bool(F.col("raw")).cast("string"))
 
 
-@query("""select * from (values ('HiFi-GAN v1', 'hifigan', 'GAN vocoder'), ('Multi-Band MelGAN', 'multibandmelgan', 'GAN vocoder'), ('Style_MelGAN', 'stylemelgan', 'GAN vocoder'), ('MelGAN large', 'melgan', 'GAN vocoder'),
-  ('Griffin-Lim', 'griffinlim', 'Classical phase reconstruction'), ('VITS', 'vits', 'Integrated GAN/VITS'), ('Codec X', 'codecx', 'Neural codec decoder'), ('WaveGrad diffusion', 'wavegraddiffusion', 'Diffusion vocoder'), ('Other', 'other', 'Other')) t(name, architecture, family)""")
+NAMES = ("HiFi-GAN v1", "Multi-Band MelGAN", "MB_MelGAN", "Full-band MelGAN", "Parallel WaveGAN", "PWG", "Style_MelGAN", "MelGAN large", "Griffin-Lim", "VITS", "Codec X", "WaveGrad diffusion", "Integrated Z", "phase rebuild", "Flow T", "Autoregressive A", "Other")
+NAME_SQL = f"list_value({', '.join(repr(n) for n in NAMES)})[(p_partkey % {len(NAMES)}) + 1] || ' ' || p_size"
+
+
+def _contained(column: str, rules: tuple, otherwise: str) -> str:
+    return "case " + " ".join(f"when contains({column}, '{part}') then '{value}'" for part, value in rules) + f" else {otherwise} end"
+
+
+@query(f"""with n as (select p_partkey, {NAME_SQL} as name from part), b as (select *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') as bare, lower(name) as low from n)
+  select p_partkey, name, {_contained('bare', T.ARCHITECTURES, 'bare')} as architecture, {_contained('low', T.FAMILIES, 'name')} as family from b""")
 def label_map(spark, sf_dir):
-    names = ["HiFi-GAN v1", "Multi-Band MelGAN", "Style_MelGAN", "MelGAN large", "Griffin-Lim", "VITS", "Codec X", "WaveGrad diffusion", "Other"]
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", T.architecture_key(F.col("name")).alias("architecture"), T.family_key(F.col("name")).alias("family"))
+    """Architecture and family keys of generator names."""
+    name = F.concat(F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_partkey") % len(NAMES)).cast("int")), F.lit(" "), F.col("p_size").cast("string"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", T.architecture_key(F.col("name")).alias("architecture"), T.family_key(F.col("name")).alias("family"))
+
+
+RAW_LANGUAGES = (*T.LANGUAGES, "en_US", "EN-GB", " FRA ", "pt-BR", "sw", "zh_Hant-TW")
 
 
-@query("""select * from (values ('English', 'en'), ('en_US', 'en'), ('jpn', 'ja'), ('pt-BR', 'pt'), (' FRA ', 'fr'), ('sw', 'sw')) t(raw, code)""")
+@query(f"""with r as (select doc_id, list_value({', '.join(repr(x) for x in RAW_LANGUAGES)})[(doc_id % {len(RAW_LANGUAGES)}) + 1] as raw from documents), l as (select *, replace(lower(trim(raw)), '_', '-') as low from r)
+  select doc_id, raw, case low {' '.join(f"when '{k}' then '{v}'" for k, v in T.LANGUAGES.items())} else split_part(low, '-', 1) end as code from l""")
 def language_map(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("English", "en_US", "jpn", "pt-BR", " FRA ", "sw")], "raw string").withColumn("code", T.language_code(F.col("raw")))
+    """Two-letter codes of language names and tags."""
+    raw = F.get(F.array(*[F.lit(x) for x in RAW_LANGUAGES]), (F.col("doc_id") % len(RAW_LANGUAGES)).cast("int"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).withColumn("code", T.language_code(F.col("raw")))
 
 
 @query("""select doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^$', '') as cleaned, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) not in ('', 'nan', 'none', 'null', 'unknown', 'n/a', 'na', '?') as present from documents""")

@@ -59,14 +59,13 @@ def strict_relaxed_masks(spark, sf_dir):
 
 
 @query(f"""with {QC}, u as (select pair_id, generator, original_id, qc_status = 'ok' as in_strict from qs where qc_status = 'ok' or exclusion_reason = 'duration_ratio_out_of_bounds')
-  select pair_id, generator, original_id, in_strict, true as in_relaxed, row_number() over (partition by generator order by original_id, pair_id, in_strict) - 1 as union_index from u""")
+  select pair_id, generator, original_id, in_strict, true as in_relaxed, row_number() over (order by generator, original_id, pair_id, in_strict) - 1 as union_index from u""")
 def union_manifest(spark, sf_dir):
-    """Rows of either population with membership flags; indexed within the generator."""
-    from pyspark.sql.window import Window
+    """Rows of either population with membership flags; indexed without gaps over the whole table."""
+    from loomvec.operators.checks import dense_index
 
     x = masked(spark, sf_dir).where("in_relaxed").select("pair_id", "generator", "original_id", "in_strict", "in_relaxed")
-    index = F.row_number().over(Window.partitionBy("generator").orderBy("original_id", "pair_id", "in_strict")) - 1
-    return x.withColumn("union_index", index.cast("long"))
+    return dense_index(x, "union_index", "generator", "original_id", "pair_id", "in_strict")
 
 
 @query(f"with {QC}, s as (select pair_id from qs where qc_status = 'ok'), r as (select pair_id from qs where qc_status = 'ok' or exclusion_reason = 'duration_ratio_out_of_bounds') select (select count(*) from s where pair_id not in (select pair_id from r)) as n_not_in, (select count(*) from r where pair_id not in (select pair_id from s)) as n_only_relaxed")
@@ -82,10 +81,11 @@ def coverage_histogram(spark, sf_dir):
     return M.coverage(checked(spark, sf_dir).where("qc_status = 'ok'"), "original_id", "generator")
 
 
-@query(f"with {QC}, o as (select * from qs where generator in ('g1', 'g2', 'g3') and qc_status = 'ok'), p as (select original_id from o group by all having count(distinct generator) = 3) select pair_id, generator, original_id from o where original_id in (select original_id from p)")
+@query(f"""with {QC}, o as (select * from qs where qc_status = 'ok'), p as (select original_id from o group by all having count(distinct generator) = (select count(distinct generator) from o))
+  select pair_id, generator, original_id from o where original_id in (select original_id from p)""")
 def balanced_population(spark, sf_dir):
-    x = checked(spark, sf_dir).where("generator in ('g1', 'g2', 'g3') and qc_status = 'ok'")
-    return M.balanced(x, "original_id", "generator").select("pair_id", "generator", "original_id")
+    """Pairs of the originals that every generator has."""
+    return M.balanced(checked(spark, sf_dir).where("qc_status = 'ok'"), "original_id", "generator").select("pair_id", "generator", "original_id")
 
 
 @query(f"""with {QC}, c as (select generator, count(*) as n_candidates, count(*) filter (qc_status = 'ok') as n_ok, count(*) filter (exclusion_reason = 'duration_ratio_out_of_bounds') as n_ratio_only, count(distinct language) as n_languages from qs group by all)
@@ -169,7 +169,7 @@ def overlap_consistency(spark, sf_dir):
 
 
 AUD = """
-hm as (select doc_id, source as generator, doc_id // 3 as original_id, sha256(text) as fake_sha256, sha256(lang || (doc_id % 400)::varchar) as real_sha256,
+hm as (select doc_id, source as generator, doc_id // 3 as original_id, sha256(text) as fake_sha256, case when doc_id % 50 = 7 then sha256(text) else sha256(lang || (doc_id % 400)::varchar) end as real_sha256,
   case when coalesce(l.quality, 1) = 1 then 'ok' else 'fail' end as qc_status, case when coalesce(l.quality, 1) = 1 then '' else 'low_quality' end as exclusion_reason from documents left join (select doc_id, min(quality) as quality from labels group by 1) l using (doc_id)),
 h1 as (select fake_sha256 as sha256, count(*) as n_rows, count(distinct original_id) as n_original_ids, count(distinct generator) as n_generators from hm where qc_status = 'ok' and fake_sha256 is not null group by 1),
 b1 as (select * from h1 where n_original_ids > 1 or n_generators > 1),
@@ -178,7 +178,10 @@ t1 as (select doc_id, generator, original_id, fake_sha256, real_sha256, case whe
 h2 as (select real_sha256 as sha256, count(*) as n_rows, count(distinct original_id) as n_original_ids, count(distinct generator) as n_generators from t1 where qc_status = 'ok' and real_sha256 is not null group by 1),
 b2 as (select * from h2 where n_original_ids > 1),
 m2 as (select t1.*, b2.sha256 is not null and qc_status = 'ok' as hit from t1 left join b2 on real_sha256 = b2.sha256),
-t2 as (select doc_id, generator, original_id, fake_sha256, real_sha256, case when hit then 'fail' else qc_status end as qc_status, case when hit then 'ambiguous_real_hash_duplicate' else exclusion_reason end as exclusion_reason from m2)"""
+t2 as (select doc_id, generator, original_id, fake_sha256, real_sha256, case when hit then 'fail' else qc_status end as qc_status, case when hit then 'ambiguous_real_hash_duplicate' else exclusion_reason end as exclusion_reason from m2),
+b3 as (select fake_sha256 as sha256 from t2 where qc_status = 'ok' and fake_sha256 is not null intersect select real_sha256 from t2 where qc_status = 'ok'),
+t3 as (select doc_id, case when qc_status = 'ok' and fake_sha256 in (select sha256 from b3) then 'fail' else qc_status end as qc_status,
+  case when qc_status = 'ok' and fake_sha256 in (select sha256 from b3) then 'fake_real_hash_collision' else exclusion_reason end as exclusion_reason from t2)"""
 
 
 def hashed(spark, sf_dir) -> DataFrame:
@@ -187,7 +190,7 @@ def hashed(spark, sf_dir) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").join(quality, "doc_id", "left")
     return d.select(
         "doc_id", F.col("source").alias("generator"), F.floor(F.col("doc_id") / 3).cast("long").alias("original_id"), F.sha2(F.col("text").cast("binary"), 256).alias("fake_sha256"),
-        F.sha2(F.concat("lang", (F.col("doc_id") % 400).cast("string")).cast("binary"), 256).alias("real_sha256"), F.when(good, "ok").otherwise("fail").alias("qc_status"), F.when(good, "").otherwise("low_quality").alias("exclusion_reason"),
+        F.sha2(F.when(F.col("doc_id") % 50 == 7, F.col("text")).otherwise(F.concat("lang", (F.col("doc_id") % 400).cast("string"))).cast("binary"), 256).alias("real_sha256"), F.when(good, "ok").otherwise("fail").alias("qc_status"), F.when(good, "").otherwise("low_quality").alias("exclusion_reason"),
     )
 
 
@@ -208,12 +211,12 @@ def hash_audit_cross(spark, sf_dir):
     return of("documents").intersect(of("benchmark")).agg(F.count("*").alias("n_collisions"))
 
 
-@query(f"with {AUD} select doc_id, qc_status, exclusion_reason from t2")
+@query(f"with {AUD} select doc_id, qc_status, exclusion_reason from t3")
 def hash_audit_sequential(spark, sf_dir):
     return M.hash_audit(hashed(spark, sf_dir))[0].select("doc_id", "qc_status", "exclusion_reason")
 
 
-@query(f"with {AUD} select 'ambiguous_fake_hash' as audit_type, sha256, n_rows from b1 union all select 'ambiguous_real_hash', sha256, n_rows from b2")
+@query(f"with {AUD} select 'ambiguous_fake_hash' as audit_type, sha256, n_rows from b1 union all select 'ambiguous_real_hash', sha256, n_rows from b2 union all select 'fake_real_hash_collision', fake_sha256, count(*) from t2 where fake_sha256 in (select sha256 from b3) group by all")
 def hash_audit_rows(spark, sf_dir):
     return M.hash_audit(hashed(spark, sf_dir))[1]
 
@@ -288,7 +291,7 @@ def json_field(spark, sf_dir):
     return read_table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))
 
 
-@query("select count(*) as n_rows, 5 as n_columns from documents")
+@query("select count(*) as n_rows, (select count(*) from information_schema.columns where table_name = 'documents') as n_columns from documents")
 def footer_counts(spark, sf_dir):
     """Row count and schema without reading data columns."""
     d = read_table(spark, sf_dir, "documents")

@@ -173,7 +173,16 @@ def global_language_median(spark, sf_dir):
     return long(spark, sf_dir).groupBy("language", "bin").agg(r6(F.median("v"), "v"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {SCALED}, pq as (select generator, family, bin, median(v) as v from cells group by all),
+  pa as (select a.generator as ga, b.generator as gb, any_value(a.family) as fa, any_value(b.family) as fb, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) as cosine from pq a join pq b on a.bin = b.bin and a.generator < b.generator group by 1, 2),
+  si as (select avg(cosine) filter (fa = fb) as w, avg(cosine) filter (fa <> fb) as b from pa),
+  fm as (select family, bin, avg(v) as fm, count(*) as size from z group by all), gm as (select bin, avg(v) as gm from z group by all),
+  sst as (select sum((v - gm) * (v - gm)) as sst, count(distinct generator) as n from z join gm using (bin)), ssb as (select sum(size * (fm - gm) * (fm - gm)) as ssb, count(distinct family) as k from fm join gm using (bin)),
+  c as (select family, bin, avg(v) as c from z group by all), d as (select generator, family, sqrt(sum((v - c) * (v - c))) as d from z join c using (family, bin) group by all),
+  g as (select avg(d) as gmn, count(*) as n from d), f as (select family, avg(d) as m, count(*) as n from d group by all),
+  df as (select (select sum(f.n * (m - gmn) * (m - gmn)) / (count(*) - 1) from f, g) / ((select sum((d - m) * (d - m)) from d join f using (family)) / ((select n from g) - (select count(*) from f))) as df)
+  select json_object('similarity', json_object('within', round(w, 6), 'between', round(b, 6), 'delta', round(w - b, 6)), 'centroid', json_object('pseudo_f', round((ssb / (k - 1)) / greatest((sst - ssb) / (n - k), 1e-15), 6), 'r2', round(ssb / sst, 6)),
+    'dispersion', json_object('dispersion_f', round(df, 6), 'n', (select n from g), 'k', (select count(*) from f)))::varchar as report from si, sst, ssb, df""")
 def summary_report(spark, sf_dir):
     """The analysis' numbers as one JSON document."""
     table = similarity(spark, sf_dir)
