@@ -152,12 +152,21 @@ def fold_profiles(cells: DataFrame, least: int = 2) -> DataFrame:
     Training cells are adjusted without the held-out generator; the held-out
     one is adjusted by the training cells of its languages.
     """
-    folds = cells.select(F.col("generator").alias("fold")).distinct()
-    ref = cells.select(F.col("generator").alias("og"), "language", "bin", F.col("v").alias("ov"))
-    crossed = cells.join(F.broadcast(folds))
-    joined = crossed.join(ref, ["language", "bin"]).where("og <> generator and og <> fold")
-    found = joined.groupBy("fold", "generator", "family", "language", "bin", "v").agg(F.median("ov").alias("ref"), F.count_distinct("og").alias("n")).where(F.col("n") >= least)
-    out = found.groupBy("fold", "generator", "family", "bin").agg(F.median(F.col("v") - F.col("ref")).alias("v"))
+    folds = cells.agg(F.array_sort(F.collect_set("generator")).alias("folds"))  # one row: the generators
+    row = F.array_sort(F.collect_list(F.struct("v", "generator", "family"))).alias("all")
+    rows = cells.groupBy("language", "bin").agg(row).join(F.broadcast(folds))
+
+    def middle(kept):
+        n = F.size(kept)
+        at = lambda i: F.get(kept, i.cast("int"))["v"]
+        return F.when(n >= least, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+    # A bin's values stand sorted in one row, so a reference is the middle of what is left without two of them.
+    own = rows.select("language", "bin", "folds", "all", F.explode("all").alias("x"))
+    each = own.select("bin", "x", F.explode("folds").alias("fold"), "all")
+    ref = V.let(F.filter("all", lambda o: (o["generator"] != F.col("x.generator")) & (o["generator"] != F.col("fold"))), middle)
+    found = each.select("fold", F.col("x.generator").alias("generator"), F.col("x.family").alias("family"), "bin", (F.col("x.v") - ref).alias("v")).where("v is not null")
+    out = found.groupBy("fold", "generator", "family", "bin").agg(F.median("v").alias("v"))
     return out.withColumn("held", F.col("fold") == F.col("generator"))
 
 

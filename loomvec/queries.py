@@ -58,7 +58,9 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.bin_medians(long(spark, sf_dir), "generator", "family", "language")
+    rows = read_table(spark, sf_dir, "embeddings").count()  # from the footers
+    medians = P.large_medians if rows * 64 > P.LARGE else P.bin_medians
+    return medians(long(spark, sf_dir), "generator", "family", "language")
 
 
 def generator_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

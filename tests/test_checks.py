@@ -203,3 +203,12 @@ def test_family_draws_against_numpy(spark, sf_dir):
     boot = [b for b in boot if b is not None]
     got = Q.QUERIES["family_stratified_bootstrap"](spark, sf_dir).first()
     assert got.n_draws == len(boot) and [got.low, got.high] == pytest.approx(np.quantile(boot, [0.025, 0.975]), abs=2e-6)
+
+
+def test_medians_in_passes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, b, float(v)) for g, n in (("a", 4001), ("b", 2), ("c", 1), ("d", 600)) for b in range(2) for v in (rng.normal(size=n) ** 3 if g != "d" else rng.integers(0, 3, n))]
+    long = spark.createDataFrame(rows, "g string, bin int, v double").repartition(5)
+    want = {(r.g, r.bin): (r.v, r.n_pairs) for r in P.bin_medians(long, "g").collect()}
+    got = {(r.g, r.bin): (r.v, r.n_pairs) for r in P.large_medians(long, "g").collect()}
+    assert got == want and len(got) == 8
