@@ -85,6 +85,27 @@ def discard(spark: SparkSession) -> int:
     return gone
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches to at most ``rows`` rows, for whole texts that are read by plans which run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for what is executed inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is executed inside.
