@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomvec.session import materialize
+from loomvec.session import materialize, setting
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -136,7 +136,15 @@ def balance(sources: DataFrame, *, cap: float = CAP, ridge: float = RIDGE, steps
     ``fixed`` is a source's rate where its constraint leaves no choice, else
     null. Should the iterations not settle, the shared constraints are given up
     and each source gets one rate, which meets its own.
+
+    The iterations' tables have a row for each source, so their plans aren't
+    compiled: every step has other numbers and would leave code behind.
     """
+    with setting(sources.sparkSession, "spark.sql.codegen.wholeStage", "false"):
+        return _balance(sources, cap, ridge, steps, tolerance)
+
+
+def _balance(sources: DataFrame, cap: float, ridge: float, steps: int, tolerance: float) -> tuple[DataFrame, tuple[float, float]]:
     size, target = F.col("source_size").cast("double"), F.col("target")
     fixed = F.when((target <= 0) | (size <= 0), F.lit(0.0)).when(target >= cap * size * (1 - 1e-12), F.lit(cap))
     state = sources.withColumn("fixed", fixed).withColumn("at", F.when(fixed.isNull(), F.log(target / size)).otherwise(F.lit(0.0))).withColumn("move", F.lit(0.0))
