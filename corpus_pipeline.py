@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomvec.llm import langid, linededup, mixing, ngram_join, packing
-from loomvec.session import materialize, read_table
+from loomvec.session import bound_batches, materialize, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or an id are judged like all others, and never learned from; repeated rows
     are judged each; without any usable label all documents are rejected.
     """
+    bound_batches(spark)
     return langid.identify(docs, langid.fit(docs)).where("not rejected").select(*COLUMNS)
 
 
@@ -67,6 +68,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty and still gives its end id; a null id is kept;
     repeated rows, as the mix makes them, are packed each.
     """
+    bound_batches(spark)
     return packing.pack(docs)
 
 
