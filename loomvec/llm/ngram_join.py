@@ -540,7 +540,7 @@ def _runs(batches, keys: int) -> Iterator[list[pa.RecordBatch]]:
 
 
 def _within(base: DataFrame, members: DataFrame, every: bool, block: int = BLOCK) -> DataFrame:
-    """Plausible pairs (a, b, sig) of different components in one group of ``members`` (sig, b, c).
+    """Plausible pairs (a, b, sig) of different components in one group of ``members`` (sig, b, c, g, top, most).
 
     Members outside a group's largest component meet all others. Both are
     dealt into blocks, and each cell of two blocks is compared by sketches
@@ -549,8 +549,8 @@ def _within(base: DataFrame, members: DataFrame, every: bool, block: int = BLOCK
     ``NAMED`` closest of each component in the cell; ``sig`` is given where it
     has more, else 0.
     """
-    sizes = _sizes(members).withColumn("across", F.ceil(F.col("g") / F.lit(block)).cast("int")).withColumn("down", F.ceil((F.col("g") - F.col("top")) / F.lit(block)).cast("int"))
-    placed = members.join(sizes, "sig")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    placed = members.withColumn("across", blocks(F.col("g"))).withColumn("down", blocks(F.col("g") - F.col("top")))
     deal = lambda n: F.pmod(F.xxhash64("b", F.lit(3)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     large = placed.select("sig", deal("across").alias("x"), spread("down").alias("y"), F.lit(False).alias("probe"), "b", "c")
@@ -635,13 +635,14 @@ def _components(docs: DataFrame, spread: float, most: int) -> DataFrame:
         sizes = materialize(_sizes(members), f"sizes-{level}", small=True)
         # Pairs of a group: all of its members with those outside its largest component.
         few = F.col("g") * (F.col("g") - F.col("top")) <= most if level < LEVELS else F.lit(True)
-        near = members.join(sizes.where(few).select("sig"), "sig", "left_semi")
+        near = materialize(members.join(sizes.where(few), "sig"), f"torn-{level}", small=True)
         pairs = materialize(_within(base, near, False), f"within-{level}", small=True)
         merged = _with_links(merged, _connecting(known, pairs.select("a", "b").distinct(), f"again-{level}"))
         if pairs.where("sig <> 0").limit(1).count():  # where some have more to name and weren't linked
             apart = pairs.where("sig <> 0").join(_rooted(merged, "a"), "a", "left").join(_rooted(merged, "b"), "b", "left")
             apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("sig").distinct()
             near = materialize(_relabelled(near.join(apart, "sig", "left_semi"), merged), f"near-{level}", small=True)
+            near = materialize(near.join(_sizes(near), "sig"), f"near-sized-{level}", small=True)
             pairs = materialize(_within(base, near, True).join(pairs, ["a", "b"], "left_anti").select("a", "b").distinct(), f"rest-{level}", small=True)
             merged = _with_links(merged, _connecting(known, pairs, f"last-{level}"))
         if not sizes.where(~few).limit(1).count():
