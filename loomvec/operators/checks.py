@@ -13,6 +13,9 @@ from loomvec.functions.text import append_reason
 from loomvec.functions.vectors import is_finite
 from loomvec.operators import manifest as M
 
+#: Bytes of measured files that are broadcast at most; beyond that a shuffle join is used.
+BROADCAST_BYTES = 48 << 20
+
 
 def matched_guard(df: DataFrame, key: str, found: str) -> DataFrame:
     """After a left join: every row must have found its dimension."""
@@ -170,24 +173,47 @@ def relaxed(status: Column, reason: Column, fake_path: Column, real_path: Column
     return (F.lower(F.trim(status)) == "ok") | (alone & has(fake_path) & has(real_path) & has(fake_hash) & has(real_hash))
 
 
-def manifest_rows(candidates: DataFrame, measured: DataFrame, *, min_ratio: float = 0.5, max_ratio: float = 2.0) -> DataFrame:
+def _bytes(files: DataFrame) -> int:
+    """About what the rows take in memory: their strings, and 64 bytes a row for the rest."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in files.dtypes if kind == "string"]
+    return files.agg(F.sum(sum(strings, F.lit(64)))).first()[0] or 0
+
+
+def manifest_rows(candidates: DataFrame, measured: DataFrame, *, real_measured: DataFrame | None = None, min_ratio: float = 0.5, max_ratio: float = 2.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for every candidate (pair_id, fake_path, real_path, ...), those that fail included.
 
     ``measured``: (path, sha256, duration, qc_status, exclusion_reason), one row
-    for each distinct file; a file that wasn't measured is missing. The pair's
-    reasons are its sides', prefixed, and the ratio of durations.
+    for each distinct file; a file that wasn't measured is missing.
+    ``real_measured``: the real files where they are known apart, else
+    ``measured`` has both. The pair's reasons are its sides', prefixed, and the
+    ratio of durations.
+
+    Candidates are shuffled only for a side whose files are too many to be
+    broadcast, and for one side before they carry hashes. What was shuffled
+    lies by the path of the side joined last, so that its hashes repeat row
+    by row and take little where the manifest is written.
     """
+    files = {"fake": measured, "real": measured if real_measured is None else real_measured}
+    weight = {"fake": _bytes(measured)}
+    weight["real"] = weight["fake"] if real_measured is None else _bytes(real_measured)
     out = candidates
-    for side in ("fake", "real"):
-        own = measured.select(F.col("path").alias(f"{side}_path"), F.col("sha256").alias(f"{side}_sha256"), F.col("duration").alias(f"{side}_duration"), F.coalesce("qc_status", F.lit("fail")).alias(f"_{side}_status"), F.coalesce("exclusion_reason", F.lit("")).alias(f"_{side}_why"))
-        out = out.join(own, f"{side}_path", "left")
+    few = [side for side in files if weight[side] <= broadcast_bytes]
+    order = [side for side in files if side not in few] + few
+    hashable = broadcast_bytes * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for side in order:
+        own = files[side].select(F.col("path").alias(f"{side}_path"), F.col("sha256").alias(f"{side}_sha256"), F.col("duration").alias(f"{side}_duration"), F.coalesce("qc_status", F.lit("fail")).alias(f"_{side}_status"), F.coalesce("exclusion_reason", F.lit("")).alias(f"_{side}_why"))
+        shuffled = own.hint("merge" if side == order[-1] or weight[side] > hashable else "shuffle_hash")
+        out = out.join(F.broadcast(own) if side in few else shuffled, f"{side}_path", "left")
     of = lambda side: F.transform(F.filter(F.split(F.when(F.col(f"_{side}_status").isNull(), "missing").otherwise(F.col(f"_{side}_why")), ";"), lambda x: x != ""), lambda x: F.concat(F.lit(f"{side}:"), x))
     both = F.col("fake_duration").isNotNull() & F.col("real_duration").isNotNull()
     ratio = F.when(both & ~M.ratio_ok(F.col("fake_duration"), F.col("real_duration"), min_ratio, max_ratio), F.array(F.lit("duration_ratio_out_of_bounds"))).otherwise(F.expr("cast(array() as array<string>)"))
     out = out.withColumn("exclusion_reason", F.array_join(F.concat(of("fake"), of("real"), ratio), ";"))
     ok = (F.col("exclusion_reason") == "") & (F.col("_fake_status") == "ok") & (F.col("_real_status") == "ok")
     out = out.withColumn("qc_status", F.when(ok, "ok").otherwise("fail"))
-    return out.withColumn("exclusion_reason", F.when((F.col("qc_status") == "fail") & (F.col("exclusion_reason") == ""), append_reason(F.col("exclusion_reason"), "side_failed")).otherwise(F.col("exclusion_reason"))).drop("_fake_status", "_real_status", "_fake_why", "_real_why")
+    out = out.withColumn("exclusion_reason", F.when((F.col("qc_status") == "fail") & (F.col("exclusion_reason") == ""), append_reason(F.col("exclusion_reason"), "side_failed")).otherwise(F.col("exclusion_reason")))
+    paths = ["real_path", "fake_path"]
+    out = out.select(*paths, *[c for c in candidates.columns if c not in paths], "fake_sha256", "fake_duration", "real_sha256", "real_duration", "exclusion_reason", "qc_status")
+    return out.sortWithinPartitions(f"{order[-1]}_path") if len(few) == 1 else out
 
 
 def preview(df: DataFrame, n: int, *order: str) -> DataFrame:

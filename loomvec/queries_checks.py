@@ -62,12 +62,13 @@ made as (select c.*, f.sha256 as fake_sha256, r.sha256 as real_sha256, f.qc_stat
 
 
 def measured_files(spark, sf_dir):
+    """(fakes, reals): their paths differ in the first letter."""
     part, supplier = read_table(spark, sf_dir, "part").where("p_partkey % 50 > 0"), read_table(spark, sf_dir, "supplier")
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     bad, long = F.col("p_size") % 7 == 0, F.col("s_suppkey") % 9 == 0
     fake = part.select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), sha("p_name").alias("sha256"), (F.col("p_size") / 10).alias("duration"), F.when(bad, "fail").otherwise("ok").alias("qc_status"), F.when(bad, "clipping;silence").otherwise("").alias("exclusion_reason"))
     real = supplier.select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("path"), sha("s_name").alias("sha256"), F.lit(2.5).alias("duration"), F.when(long, "fail").otherwise("ok").alias("qc_status"), F.when(long, "too_long").otherwise("").alias("exclusion_reason"))
-    return fake.unionByName(real)
+    return fake, real
 
 
 @query(f"with {MEASURED} select pair_id, fake_sha256, real_sha256, exclusion_reason, case when exclusion_reason = '' then 'ok' else 'fail' end as qc_status from made")
@@ -75,7 +76,8 @@ def manifest_assembly(spark, sf_dir):
     """One manifest row for every candidate pair, failures included; each file is measured once."""
     l = read_table(spark, sf_dir, "lineitem")  # noqa: E741
     candidates = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("pair_id"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("fake_path"), F.concat(F.lit("r"), F.col("l_suppkey").cast("string")).alias("real_path"))
-    return C.manifest_rows(candidates, measured_files(spark, sf_dir)).select("pair_id", "fake_sha256", "real_sha256", "exclusion_reason", "qc_status")
+    fakes, reals = measured_files(spark, sf_dir)
+    return C.manifest_rows(candidates, fakes, real_measured=reals).select("pair_id", "fake_sha256", "real_sha256", "exclusion_reason", "qc_status")
 
 
 @query("select vec_id, vec_id % 5 > 0 as ok from embeddings")

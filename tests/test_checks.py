@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomvec import queries as Q
+from loomvec import queries_checks
 from loomvec.operators import analysis as A
 from loomvec.operators import checks as C
 from loomvec.operators import inference as I
 from loomvec.operators import manifest as M
 from loomvec.operators import profiles as P
 from loomvec.plans import tables
+from loomvec.session import setting
 
 
 def test_p_values_are_guarded(spark):
@@ -96,6 +98,31 @@ def test_assembly(spark):
     assert {r.speaker_id for r in C.speaker_of(pairs, named.drop("speaker_id"), "k").collect()} == {"unknown"}
 
 
+def shuffles(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_assembly_shuffles_candidates_once(spark, sf_dir):
+    candidates = spark.createDataFrame([(f"p{i}", f"f{i % 70}" if i % 9 else None, f"r{i % 4}") for i in range(500)], "pair_id string, fake_path string, real_path string")
+    kind = "path string, sha256 string, duration double, qc_status string, exclusion_reason string"
+    fakes = spark.createDataFrame([(f"f{i}", f"A{i}", float(i), "ok" if i % 3 else "fail", "" if i % 3 else "clipping") for i in range(60)], kind)
+    reals = spark.createDataFrame([("r0", "B0", 9.0, "ok", ""), ("r1", None, None, None, None), ("r2", "B2", 30.0, "fail", "too_long;silence")], kind)
+    plain = C.manifest_rows(candidates, fakes.unionByName(reals))
+    want = sorted(map(str, plain.collect()))
+    assert len(want) == 500
+    seen = {}
+    for most, (a, b) in ((1 << 20, (fakes, reals)), (1000, (fakes, reals)), (0, (fakes, reals)), (1000, (reals, fakes))):
+        turned = a is reals
+        pairs = candidates.select("pair_id", F.col("real_path").alias("fake_path"), F.col("fake_path").alias("real_path")) if turned else candidates
+        made = C.manifest_rows(pairs, a, real_measured=b, broadcast_bytes=most)
+        seen[most, turned] = len(shuffles(made))
+        assert sorted(map(str, made.collect())) == (sorted(map(str, C.manifest_rows(pairs, fakes.unionByName(reals)).collect())) if turned else want)
+        assert made.columns == plain.columns
+    assert seen == {(1 << 20, False): 0, (1000, False): 2, (0, False): 4, (1000, True): 2}  # the candidates and the files of a join
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        assert shuffles(queries_checks.manifest_assembly(spark, sf_dir)) == []
+
+
 def test_ranks_over_hot_and_null_groups(spark):
     rows = [("hot", i * 7 % 501) for i in range(501)] + [(None, i) for i in range(20)] + [("one", 5)]
     got = M.ranked(spark.createDataFrame(rows, "g string, v int").repartition(5), ["g"], ["v"]).collect()
